@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, common, token_counts, token_files
+from loomline.llm import bpe, common, minhash, token_counts, token_files
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -16,6 +16,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), common.work_dir(spark))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.work_dir(spark)
     token_files.write_token_files(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), folder)
@@ -26,5 +30,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), keep=())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op8_token_files, op9_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op7_minhash, op8_token_files, op9_bpe)}
 ORACLE: dict[str, str] = {}
