@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, common, minhash, token_counts, token_files
+from loomline.llm import bpe, common, decontaminate, minhash, quality, secrets, token_counts, token_files
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -16,6 +16,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(common.table(spark, sf_dir, "documents"), common.work_dir(spark) + "/ledger")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), common.work_dir(spark))[0]
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), common.work_dir(spark))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), common.work_dir(spark))
 
@@ -30,5 +42,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), keep=())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op7_minhash, op8_token_files, op9_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_quality, op4_decontamination, op7_minhash, op8_token_files, op9_bpe)}
 ORACLE: dict[str, str] = {}
