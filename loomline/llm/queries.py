@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, common, decontaminate, licenses, minhash, quality, secrets, token_counts, token_files
+from loomline.llm import bpe, common, decontaminate, html_extract, licenses, minhash, quality, secrets, token_counts, token_files
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -32,6 +32,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.table(spark, sf_dir, "documents"), common.work_dir(spark))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(common.table(spark, sf_dir, "pages"), common.work_dir(spark))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), common.work_dir(spark))
 
@@ -46,5 +50,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), keep=())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_quality, op4_decontamination, op5_license_scan, op7_minhash, op8_token_files, op9_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_quality, op4_decontamination, op5_license_scan, op6_html_text, op7_minhash, op8_token_files, op9_bpe)}
 ORACLE: dict[str, str] = {}

@@ -124,10 +124,12 @@ def scan_secrets(docs: DataFrame, path: str, ledger: DataFrame | None = None, ru
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans.
 
     A null text counts as empty; a text without findings has counts of 0, the hash of an empty string and empty spans.
-    Repeated rows and null ids all stay. Other columns of docs aren't read. New ledger rows are written to path.
+    Repeated rows and null ids all stay. Other columns of docs aren't read. New ledger rows are written to path, the
+    findings joined to the paths beside it.
     """
     new = extend_ledger(docs, ledger, path, rules, text_col)
-    found = spans_of_blobs(new if ledger is None else ledger.unionByName(new), rules)
+    # Written, so that both sides of the join are dealt out anew and Spark can split a blob that very many paths have.
+    found = common.written(spans_of_blobs(new if ledger is None else ledger.unionByName(new), rules), f"{path}-found")
     paths = docs.select(F.col(id_col).alias("doc_id"), blob_of(F.col(text_col)).alias("blob"))
     rows = paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array()))
     base = F.filter("spans", lambda s: s["kind"].isin(*(r.kind for r in BASE)))
@@ -151,7 +153,7 @@ def _redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def redacted(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The rows of docs with every secret replaced by its kind; length_col, if given, gets the new number of characters."""
-    found = spans_of_blobs(extend_ledger(docs, None, path, rules, text_col), rules)
+    found = common.written(spans_of_blobs(extend_ledger(docs, None, path, rules, text_col), rules), f"{path}-found")
     blob, spans = "__blob", "__spans"
     rows = docs.withColumn(blob, blob_of(F.col(text_col))).join(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
     hit = rows.filter(F.col(spans).isNotNull()).withColumn(text_col, _redacted(F.col(text_col), F.col(spans)))
