@@ -63,9 +63,9 @@ def admission(rows: DataFrame, value: str, blocked: DataFrame, allowed: DataFram
     canonical = lambda c: F.lower(F.trim(c))
     b = blocked.select(canonical("name").alias("b")).distinct()
     a = allowed.select(canonical("name").alias("a")).distinct()
-    n = allowed.agg((F.count("*") > 0).alias("listed"))
-    out = rows.withColumn("v", canonical(value)).join(b, F.col("v") == F.col("b"), "left").join(a, F.col("v") == F.col("a"), "left").crossJoin(n)  # one row
-    return out.withColumn("admitted", F.col("b").isNull() & (~F.col("listed") | F.col("a").isNotNull())).drop("v", "a", "b", "listed")
+    listed = bool(allowed.take(1))
+    out = rows.withColumn("v", canonical(value)).join(b, F.col("v") == F.col("b"), "left").join(a, F.col("v") == F.col("a"), "left")
+    return out.withColumn("admitted", F.col("b").isNull() & (F.col("a").isNotNull() | F.lit(not listed))).drop("v", "a", "b")
 
 
 def lease_semaphore(requests: DataFrame, limit: int) -> DataFrame:
