@@ -102,9 +102,11 @@ class Tables:
 def _fit(distinct: DataFrame, wanted: int) -> Tables | None:
     """Size, number and longest length of all vectors; the distance of neighbours from a sample of at most SAMPLE."""
     squares = F.aggregate(F.transform("vector", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    n, size, longest = distinct.agg(F.count("*"), F.max(F.size("vector")), F.sqrt(F.max(squares))).first()
-    if not n:
+    size = distinct.agg(F.max(F.size("vector"))).first()[0]
+    if size is None:
         return None
+    distinct = distinct.filter(F.size("vector") == size)
+    n, longest = distinct.agg(F.count("*"), F.sqrt(F.max(squares))).first()
     rows = distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
     x = np.array([r.vector for r in rows], dtype=np.float64)
     q = x[:SAMPLE_QUERIES]
