@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from itertools import chain
 
 import ahocorasick
@@ -49,7 +50,7 @@ class Memo(dict):
 class WordBpe:
     """Encodes and decodes with a vocabulary file of the tokenizers library's format whose tokens carry word ends."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 900_000):
         """limit: words and parts that each cache keeps before it starts anew; it bounds memory only."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -66,7 +67,8 @@ class WordBpe:
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.library = Tokenizer.from_file(path)
         self.letter_byte = {c: b for b, c in enumerate(_byte_letters())}
-        self.tokens = Memo(self.encode_word, limit)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.tokens = Memo(lambda word: array(self.code, self.encode_word(word)).tobytes(), limit)
         self.words = Memo(self.encode_chunk, limit)
 
     def _load(self, vocab: dict[str, int], merges: list) -> None:
@@ -161,22 +163,18 @@ class WordBpe:
 
     def encode_chunk(self, chunk: str) -> bytes:
         """Ids of a text without ASCII white space, as bytes of self.dtype."""
-        return np.array(self._chunk_ids(chunk), self.dtype).tobytes()
-
-    def _chunk_ids(self, chunk: str) -> tuple[int, ...]:
         tokens = self.tokens
         if found := _PLAIN.fullmatch(chunk.lower()):
             if max(chunk) < _LATIN_END:
                 word, tail = found.groups()
                 return tokens[word] + tokens[tail] if tail else tokens[word]
-        out: list[int] = []
+        out = b""
         for k, part in enumerate(self.at_special.split(chunk) if "<" in chunk else (chunk,)):
             if k % 2:
-                out.append(self.special[part])
+                out += array(self.code, [self.special[part]]).tobytes()
             else:
-                for word in self._pre_tokens(part):
-                    out += tokens[word]
-        return tuple(out)
+                out += b"".join([tokens[word] for word in self._pre_tokens(part)])
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, as the tokenizers library gives them without special tokens added."""
