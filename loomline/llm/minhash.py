@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm import common, shingles
+from loomline.llm import common, shingles, worker
 from loomline.llm.components import components
 
 #: Bands of ROWS minima: a pair of similarity 0.85 shares no bucket with probability (1 - 0.85**6)**32 = 3e-7.
@@ -69,6 +69,7 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("minhash")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm import common, shingles
+from loomline.llm import common, shingles, worker
 
 _CLASS = np.zeros(256, np.uint8)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"()-?", b"!", b"|", bytes(range(128, 256))), 1):
@@ -30,6 +30,7 @@ NAMES = ("bytes", "words", "upper", "symbols", "punctuation", "exclaims", "bars"
 
 def statistics(text: str | None) -> list[float]:
     """The values named in NAMES, transformed to be closer to normal; an empty or null text has those of no words."""
+    worker.enter("quality")
     raw = (text or "").encode(errors="surrogatepass")
     data = np.frombuffer(raw, np.uint8)
     n = max(1, len(data))

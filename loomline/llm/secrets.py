@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm import common
+from loomline.llm import common, worker
 
 
 @dataclass(frozen=True)
@@ -98,6 +98,7 @@ def extend_ledger(docs: DataFrame, ledger: DataFrame | None, path: str, rules: t
     rank = {r.key: (k, r) for k, r in enumerate(rules)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("secrets")
         for batch in batches:
             out = []
             for text, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

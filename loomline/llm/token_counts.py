@@ -17,6 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm import worker
 from loomline.llm.wordbpe import Memo
 
 #: The mark of a word's beginning, and by how much an unknown character scores below the worst piece.
@@ -68,13 +69,8 @@ class UnigramCounter:
         return sum(map(self.counts.__getitem__, _WORDS.findall(SPACE + text.replace(" ", SPACE)))) if text else 0
 
 
-_loaded: dict[str, UnigramCounter] = {}
-
-
 def load(path: str) -> UnigramCounter:
-    if path not in _loaded:
-        _loaded[path] = UnigramCounter(vocabulary(path))
-    return _loaded[path]
+    return worker.keep("pieces", path, lambda: UnigramCounter(vocabulary(path)))
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from loomline.llm import worker
+
 #: The vocabulary's pre-token pattern, its end-of-word mark, and its special tokens' ids come from its file.
 WORD_END = "</w>"
 #: ASCII white space, at which both the normaliser and the pre-tokenizer always end a pre-token.
@@ -211,11 +213,6 @@ class LibraryWords(WordBpe):
         """The library has its own tables."""
 
 
-_loaded: dict[tuple[type, str], WordBpe] = {}
-
-
 def load(path: str, kind: type[WordBpe] = WordBpe) -> WordBpe:
     """One vocabulary for each worker process."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
+    return worker.keep("words", (kind, path), lambda: kind(path))
