@@ -1,6 +1,6 @@
 import random
 
-from conftest import prose
+from made_up_texts import prose
 
 from loomline.llm import common, decontaminate
 
