@@ -19,11 +19,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm import common, shingles
+from loomline.llm import common, shingles, worker
 
-SPAN, HALF = 48, 24
+SPAN, HALF = 32, 16
 #: Latent dimensions, columns of the random test matrix, items in one block, and words in one of its vocabularies.
-RANK, WIDTH, ITEMS, WORDS = 32, 40, 2000, 65_000
+RANK, WIDTH, ITEMS, WORDS = 96, 104, 2000, 65_000
 #: Terms in a larger share of documents aren't searched by, unless an item has fewer than LEAST_TERMS others.
 COMMON, LEAST_TERMS = 0.1, 4
 _WORD = np.zeros(256, bool)
@@ -70,6 +70,7 @@ def _tokens(docs: DataFrame, known: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(known)  # at most WORDS hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("decontaminate")
         squeeze, known = zstandard.ZstdCompressor(level=1), shared.value
         size = len(known)
         for batch in batches:
@@ -102,7 +103,10 @@ class Passages:
         place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         half = np.repeat(first, lengths) + place // HALF
         used = np.flatnonzero(weight[ids] > 0)
-        self.ids, self.half, self.weight = ids[used], half[used], weight[ids[used]]
+        # A word counts once in a half passage, so one that is repeated doesn't outweigh all others.
+        pair = np.unique(half[used] * len(weight) + ids[used])
+        self.ids, self.half = pair % len(weight), pair // len(weight)
+        self.weight = weight[self.ids]
         total = int(halves.sum())
         last = np.zeros(total + 1, bool)
         last[first + halves - 1] = True
@@ -112,14 +116,18 @@ class Passages:
         self.start = np.flatnonzero((~last | alone)[:total])
         self.second = np.where(alone[self.start], total, self.start + 1)
         self.doc = np.repeat(np.arange(len(docs)), halves)[self.start] if total else np.zeros(0, int)
-        self.first = first
+        self.first, self.after = first, first + halves
 
     def project(self, vectors: np.ndarray) -> np.ndarray:
         """Each passage's TF-IDF vector times vectors."""
         sums = np.zeros((self.n_halves + 1, vectors.shape[1]), vectors.dtype)
         if len(self.ids):
-            edge = np.flatnonzero(np.concatenate([[True], self.half[1:] != self.half[:-1]]))
-            sums[self.half[edge]] = np.add.reduceat(vectors[self.ids] * self.weight[:, None].astype(vectors.dtype), edge, axis=0)
+            rows = vectors[self.ids] * self.weight[:, None].astype(vectors.dtype)
+            first = np.flatnonzero(np.concatenate([[True], self.half[1:] != self.half[:-1]]))
+            n = np.diff(np.append(first, len(self.half)))
+            for k in range(int(n.max())):  # the k-th term of all halves at once; a half has at most HALF
+                at = first[n > k] + k
+                sums[self.half[at]] += rows[at]
         return sums[self.start] + sums[self.second]
 
     def spread(self, y: np.ndarray, size: int) -> np.ndarray:
@@ -131,6 +139,19 @@ class Passages:
         return np.stack([np.bincount(self.ids, at[:, j], size)[:size] for j in range(y.shape[1])], axis=1)
 
 
+    def shared_terms(self, window: np.ndarray, item: np.ndarray, reach: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """For pairs of a passage and an item: how many terms (held[item, term]) the passage and reach[item] halves to
+        both sides have in common with it; a term in several halves counts in each."""
+        border = np.searchsorted(self.half, np.arange(self.n_halves + 1))
+        doc = self.doc[window]
+        low = border[np.maximum(self.first[doc], self.start[window] - reach[item])]
+        n = border[np.minimum(self.after[doc], self.start[window] + 2 + reach[item])] - low
+        end = np.cumsum(n)
+        place = np.arange(end[-1] if len(end) else 0) - np.repeat(end - n - low, n)
+        hit = np.concatenate([[0], np.cumsum(held[np.repeat(item, n), self.ids[place]])])
+        return hit[end] - hit[end - n]
+
+
 def _batches(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[list, list[np.ndarray]]]:
     read = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -233,20 +254,28 @@ def _search(tokens: DataFrame, items: Items, weight: np.ndarray, space: np.ndarr
         unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         goal = unit(np.stack([(padded[w] * weight[w, None]).sum(axis=0) for w in items.words])).astype(np.float32)
         masks, own = [_masks(w) for w in items.words], [set(w.tolist()) for w in items.words]
+        held = np.zeros((len(items.words), size + 1), bool)
+        for k, w in enumerate(items.words):
+            held[k, w] = weight[w] > 0
+        length = np.array([len(w) for w in items.words])
+        reach = -(-length // HALF)
+        # Of an item's words, so many may be missing; each of its terms that isn't there is one of them.
+        missing = (1 - min(similar, paraphrase)) * length
         answers = [(_masks(a), len(a)) if a is not None else (None, 0) for a in items.answers]
         for ids, docs in _batches(batches):
             p = Passages(docs, weight)
             near = unit(p.project(padded)) @ goal.T
             window, item = np.nonzero(near >= cosine)
+            likely = p.shared_terms(window, item, reach, held) >= held.sum(axis=1)[item] - missing[item]
+            window, item = window[likely], item[likely]
             rows = []
             for (doc, k), group in itertools.groupby(sorted(zip(p.doc[window].tolist(), item.tolist(), p.start[window].tolist(), near[window, item].tolist(), strict=True)), lambda x: x[:2]):
                 m = len(items.words[k])
                 best = None
                 for at, value in ((x[2], x[3]) for x in group):
                     begin = max(0, int(at - p.first[doc]) * HALF - m)
-                    # Only words of the item can match; without enough of them nothing can.
                     region = docs[doc][begin : begin + SPAN + 2 * m].tolist()
-                    if len(own[k].intersection(region)) < paraphrase * len(own[k]):
+                    if len(own[k].intersection(region)) < len(own[k]) - missing[k]:
                         continue
                     # Not over more than one and a half times the item's length, so that chance matches far apart don't add up.
                     wide, step = m + m // 2, max(1, m // 4)
@@ -282,7 +311,7 @@ def _item_blocks(benchmark: DataFrame, columns: list[str]) -> Iterator[list]:
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, folder: str, cosine: float = 0.5, similar: float = 0.8, paraphrase: float = 0.7, answer_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, folder: str, cosine: float = 0.4, similar: float = 0.8, paraphrase: float = 0.7, answer_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, the words in which it was found
     (start_word, end_word), cosine, common_words, item_words, answer_found.
 
