@@ -90,10 +90,10 @@ def scan_licenses(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     idf = inverse_frequencies(docs, "text")
     keys = sorted({max(phrase.split(), key=lambda w: (idf[w], w)) for _, phrase, _ in TEMPLATES} | {_LAST})
-    lowered = docs.select("doc_id", _lowered(F.col("text")).alias("lowered"))
-    has_key = reduce(lambda a, b: a | b, (F.contains("lowered", F.lit(k)) for k in keys))
+    worded = docs.select("doc_id", _words(_lowered(F.col("text"))).alias("words"))
+    has_key = F.arrays_overlap("words", F.array(*(F.lit(k) for k in keys)))
 
-    files = lowered.filter(has_key).select(F.monotonically_increasing_id().alias("file"), "doc_id", _words(F.col("lowered")).alias("words"))
+    files = worded.filter(has_key).select(F.monotonically_increasing_id().alias("file"), "doc_id", "words")
     files = common.written(files, f"{folder}/files")
     known = F.array_distinct(F.filter("words", lambda w: w.isin(*_VOCABULARY)))
     weight = F.create_map(*(F.lit(x) for w, v in idf.items() for x in (w, v)))
@@ -137,5 +137,5 @@ def scan_licenses(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
         F.least(F.lit(1.0), F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size("base") > 0, 0.5).otherwise(0.0))).alias("score"),
     )
     place = F.lit(None).cast("long")
-    rest = lowered.filter(~has_key).select("doc_id", F.size(_words(F.col("lowered"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_base"), place.alias("first_word"), place.alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"))
+    rest = worded.filter(~has_key).select("doc_id", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_base"), place.alias("first_word"), place.alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"))
     return scanned.unionByName(rest)

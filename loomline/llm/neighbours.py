@@ -38,6 +38,10 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _matrix(column: pa.ListArray, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, the same for equal rows wherever they stand."""
     return np.add.reduce(np.ascontiguousarray(vectors * query), axis=1)
@@ -145,12 +149,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, folder: str, wanted: int = 2
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(-1, size)
+            x = _matrix(batch.column(0), size)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(shared.value.cells(x).T), pa.list_(pa.int64()))], names=["vector", "ids", "cells"])
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(-1, size)
+            x = _matrix(batch.column(1), size)
             out = shared.value.probes(x, recall) if len(x) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[p.tolist() for p in tables] for tables in out], pa.list_(pa.list_(pa.int64())))], names=["vec_id", "vector", "cells"])
 
@@ -181,7 +185,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, folder: str, wanted: int = 2
 
         asking: list = []
         for batch in batches:
-            for t, cell, block, side, vector, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns = [_matrix(c, size) if k == 4 else c.to_pylist() for k, c in enumerate(batch.columns)]
+            for t, cell, block, side, vector, ids in zip(*columns, strict=True):
                 if (t, cell, block) != key:
                     if asking:
                         yield answer(asking)
@@ -199,6 +204,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, folder: str, wanted: int = 2
         if asking:
             yield answer(asking)
 
-    found = met.mapInArrow(rank, PAIRS).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    best = found.select("query_id", F.posexplode(F.slice(F.array_sort("found"), 1, wanted)).alias("p", "x"))
+    # As many lists of wanted neighbours as a query visits cells; a neighbour found in several tables stands side by side.
+    found = met.mapInArrow(rank, PAIRS).groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+    once = F.filter("found", lambda x, k: (k == 0) | (x != F.get("found", k - 1)))
+    best = found.select("query_id", F.posexplode(F.slice(once, 1, wanted)).alias("p", "x"))
     return best.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))

@@ -29,3 +29,11 @@ def test_small_table(spark, small):
     docs = common.table(spark, small, "documents")
     got = licenses.scan_licenses(docs, common.work_dir(spark)).collect()
     assert {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got} == {(r.doc_id, *expected(r.text)) for r in docs.collect()}
+
+
+def test_only_files_with_a_whole_key_word_are_looked_up(spark):
+    texts = ["asado licensedness unlicensed", "a public thing", "the License of it"] + ["of the and to"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = common.work_dir(spark)
+    assert licenses.scan_licenses(docs, folder).count() == len(texts)
+    assert [r.doc_id for r in spark.read.parquet(f"{folder}/files").collect()] == [2]
