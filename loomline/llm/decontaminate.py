@@ -24,8 +24,6 @@ from loomline.llm import common, shingles, worker
 SPAN, HALF = 32, 16
 #: Latent dimensions, columns of the random test matrix, items in one block, and words in one of its vocabularies.
 RANK, WIDTH, ITEMS, WORDS = 96, 104, 2000, 65_000
-#: Terms in a larger share of documents aren't searched by, unless an item has fewer than LEAST_TERMS others.
-COMMON, LEAST_TERMS = 0.1, 4
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.full(256, 32, np.uint8)
@@ -135,24 +133,32 @@ class Passages:
         by_half = np.zeros((self.n_halves + 1, y.shape[1]))
         by_half[self.start] += y
         by_half[self.second] += y
-        at = by_half[self.half] * self.weight[:, None]
-        return np.stack([np.bincount(self.ids, at[:, j], size)[:size] for j in range(y.shape[1])], axis=1)
-
+        out = np.zeros((size, y.shape[1]))
+        if len(self.ids):
+            order = np.argsort(self.ids, kind="stable")
+            ids = self.ids[order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            out[ids[first]] = np.add.reduceat(by_half[self.half[order]] * self.weight[order, None], first)
+        return out
 
     def shared_terms(self, window: np.ndarray, item: np.ndarray, reach: np.ndarray, held: np.ndarray) -> np.ndarray:
-        """For pairs of a passage and an item: how many terms (held[item, term]) the passage and reach[item] halves to
-        both sides have in common with it; a term in several halves counts in each."""
-        border = np.searchsorted(self.half, np.arange(self.n_halves + 1))
+        """For pairs of a passage and an item: how many terms (held[term, item], bytes) the passage and reach[item] halves
+        to both sides have in common with it; a term in several halves counts in each."""
+        sums = np.zeros((self.n_halves + 1, held.shape[1]), np.uint8)  # a half has at most HALF terms
+        if len(self.ids):
+            first = np.flatnonzero(np.concatenate([[True], self.half[1:] != self.half[:-1]]))
+            n = np.diff(np.append(first, len(self.half)))
+            for k in range(int(n.max())):
+                at = first[n > k] + k
+                sums[self.half[at] + 1] += held[self.ids[at]]
+        upto = np.cumsum(sums, axis=0, dtype=np.int32)
         doc = self.doc[window]
-        low = border[np.maximum(self.first[doc], self.start[window] - reach[item])]
-        n = border[np.minimum(self.after[doc], self.start[window] + 2 + reach[item])] - low
-        end = np.cumsum(n)
-        place = np.arange(end[-1] if len(end) else 0) - np.repeat(end - n - low, n)
-        hit = np.concatenate([[0], np.cumsum(held[np.repeat(item, n), self.ids[place]])])
-        return hit[end] - hit[end - n]
+        low = np.maximum(self.first[doc], self.start[window] - reach[item])
+        high = np.minimum(self.after[doc], self.start[window] + 2 + reach[item])
+        return upto[high, item] - upto[low, item]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _batches(batches: Iterator[pa.RecordBatch], size: int = 64) -> Iterator[tuple[list, list[np.ndarray]]]:
     read = zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, size):
@@ -177,14 +183,10 @@ def _frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out[:size], int(out[size + 1])
 
 
-def _weights(items: Items, found: np.ndarray, n: int) -> np.ndarray:
-    """Inverse document frequencies, 0 for words that aren't searched by; one more 0 for unknown words."""
-    idf = np.log((2.0 + n) / (1.0 + found))
-    use = found <= COMMON * n
-    for words in items.words:
-        if len(np.unique(words[use[words]])) < LEAST_TERMS:
-            use[words] = True
-    return np.append(np.where(use, idf, 0.0), 0.0)
+def _weights(found: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequencies, and a last 0 for unknown words. All are at least 1: documents that hold an item's
+    words in many copies must not make these words count for nothing."""
+    return np.append(1.0 + np.log((2.0 + n) / (1.0 + found)), 0.0)
 
 
 def _sum_of_products(tokens: DataFrame, weight: np.ndarray, vectors: np.ndarray, twice: bool) -> np.ndarray:
@@ -254,19 +256,20 @@ def _search(tokens: DataFrame, items: Items, weight: np.ndarray, space: np.ndarr
         unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         goal = unit(np.stack([(padded[w] * weight[w, None]).sum(axis=0) for w in items.words])).astype(np.float32)
         masks, own = [_masks(w) for w in items.words], [set(w.tolist()) for w in items.words]
-        held = np.zeros((len(items.words), size + 1), bool)
+        held = np.zeros((size + 1, len(items.words)), np.uint8)
         for k, w in enumerate(items.words):
-            held[k, w] = weight[w] > 0
+            held[w, k] = 1
         length = np.array([len(w) for w in items.words])
         reach = -(-length // HALF)
         # Of an item's words, so many may be missing; each of its terms that isn't there is one of them.
         missing = (1 - min(similar, paraphrase)) * length
+        enough = held.sum(axis=0) - missing
         answers = [(_masks(a), len(a)) if a is not None else (None, 0) for a in items.answers]
         for ids, docs in _batches(batches):
             p = Passages(docs, weight)
             near = unit(p.project(padded)) @ goal.T
             window, item = np.nonzero(near >= cosine)
-            likely = p.shared_terms(window, item, reach, held) >= held.sum(axis=1)[item] - missing[item]
+            likely = p.shared_terms(window, item, reach, held) >= enough[item]
             window, item = window[likely], item[likely]
             rows = []
             for (doc, k), group in itertools.groupby(sorted(zip(p.doc[window].tolist(), item.tolist(), p.start[window].tolist(), near[window, item].tolist(), strict=True)), lambda x: x[:2]):
@@ -329,7 +332,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, folder: str, cosine: flo
         if not items.ids:
             continue
         tokens = common.written(_tokens(docs, items.hashes), f"{folder}/tokens-{k}", compression="none")
-        weight = _weights(items, *_frequencies(tokens, len(items.hashes)))
+        weight = _weights(*_frequencies(tokens, len(items.hashes)))
         space = latent_space(tokens, weight)
         found = found.unionByName(common.written(_search(tokens, items, weight, space, cosine, similar, paraphrase), f"{folder}/hits-{k}"))
         common.remove(spark, f"{folder}/tokens-{k}")

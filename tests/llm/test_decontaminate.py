@@ -69,3 +69,17 @@ def test_odd_documents(spark, odd_docs):
     assert sorted(map(str, got)) == sorted(map(str, [(d, i) for d in (None, 6, 6, 7, 8) for i in (3, 4)]))
     assert decontaminate.contaminated(odd_docs.limit(0), bench, common.work_dir(spark)).count() == 0
     assert decontaminate.contaminated(odd_docs, bench.limit(0), common.work_dir(spark)).count() == 0
+
+
+def test_altered_items_in_many_copies_are_found(spark):
+    items = [words(k, 50) for k in range(40)]
+    rng = random.Random(7)
+    places = set(rng.sample(range(50), 10))
+    changed = [words(90, 50)[k] if k in places else w for k, w in enumerate(items[0])]
+    others = [w for k, w in enumerate(items[0]) if k in places]
+    for copies in (40, 100, 285):
+        rows = [(k, " ".join(words(2000 + k, 60) + (changed if k < copies else []) + words(5000 + k, 80) + ([others[k % 10]] if k >= copies else []))) for k in range(300)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, common.work_dir(spark)).collect()}
+        assert got == {(k, 0) for k in range(copies)}
