@@ -1,8 +1,8 @@
 """Operator 5: licences in files, by a positional index of rare words. DataFrame functions only.
 
-Method: for each file, its licence words of the highest inverse document frequency are looked up in the templates'
-postings; places where postings agree on the position relative to the file are candidates; a candidate counts if the
-template's mandatory phrase stands where that position says. Base labels come from three phrases, wherever they stand.
+Method: each template's anchor is the word of its mandatory phrase with the highest inverse document frequency. Wherever
+an anchor stands in a file it is looked up in the templates' postings, which say where the template would begin; that
+counts if the mandatory phrase stands there. Base labels come from three phrases, wherever they stand.
 
 Files that have no key word can neither hold a mandatory nor a base phrase, so only the others (written once, with
 their words) are looked up. What is broadcast is the table of postings, whose size is that of the templates below.
@@ -44,8 +44,8 @@ TEMPLATES = (
     ("unlicense", "free and unencumbered software released into the public domain", "this is free and unencumbered software released into the public domain"),
 )
 _VOCABULARY = sorted({w for _, _, t in TEMPLATES for w in t.split()})
-#: Licence words looked up for each file.
-ANCHORS = 8
+#: Words to both sides of an anchor that a template can reach.
+_REACH = max(len(t.split()) for _, _, t in TEMPLATES)
 
 
 def _lowered(text: Column) -> Column:
@@ -89,35 +89,30 @@ def scan_licenses(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     idf = inverse_frequencies(docs, "text")
-    keys = sorted({max(phrase.split(), key=lambda w: (idf[w], w)) for _, phrase, _ in TEMPLATES} | {_LAST})
+    anchors = [max(phrase.split(), key=lambda w: (idf[w], w)) for _, phrase, _ in TEMPLATES]
+    keys = sorted({*anchors, _LAST})
     worded = docs.select("doc_id", _words(_lowered(F.col("text"))).alias("words"))
     has_key = F.arrays_overlap("words", F.array(*(F.lit(k) for k in keys)))
 
     files = worded.filter(has_key).select(F.monotonically_increasing_id().alias("file"), "doc_id", "words")
     files = common.written(files, f"{folder}/files")
-    known = F.array_distinct(F.filter("words", lambda w: w.isin(*_VOCABULARY)))
-    weight = F.create_map(*(F.lit(x) for w, v in idf.items() for x in (w, v)))
-    ranked = F.array_sort(F.transform(known, lambda w: F.struct((-F.element_at(weight, w)).alias("r"), w.alias("w"))))
-    anchors = F.transform(F.slice(ranked, 1, ANCHORS), lambda x: x["w"])
-    spots = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("anchors", x["w"]))
-    hits = files.withColumn("anchors", anchors).select("file", F.explode(spots).alias("x")).select("file", "x.i", F.col("x.w").alias("word"))
-
-    postings = [(w, k, p) for k, (_, _, text) in enumerate(TEMPLATES) for p, w in enumerate(text.split())]
-    postings = spark.createDataFrame(postings, "word string, template int, place int")
-    votes = hits.join(F.broadcast(postings), "word").groupBy("file", "template", (F.col("i") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
+    # Each anchor with the words around it, so that the files' words aren't needed again.
+    low = lambda i: F.greatest(i - _REACH, F.lit(0))
+    spot = lambda w, i: F.when(w.isin(*set(anchors)), F.struct(i.alias("i"), w.alias("word"), F.slice("words", low(i) + 1, 2 * _REACH + 1).alias("near")))
+    hits = files.select("file", F.explode(F.filter(F.transform("words", spot), lambda x: x.isNotNull())).alias("x")).select("file", "x.word", "x.near", low(F.col("x.i")).alias("low"), "x.i")
 
     rows = []
     for k, (label, phrase, text) in enumerate(TEMPLATES):
         body, key = text.split(), phrase.split()
         at = next(p for p in range(len(body)) if body[p : p + len(key)] == key)
-        rows.append((k, label, key, at, body, [idf[w] for w in body]))
-    templates = spark.createDataFrame(rows, "template int, label string, key array<string>, at int, body array<string>, weights array<double>")
+        rows.append((anchors[k], k, label, key, at, at + key.index(anchors[k]), body, [idf[w] for w in body]))
+    templates = spark.createDataFrame(rows, "word string, template int, label string, key array<string>, at int, place int, body array<string>, weights array<double>")
     # Where the template would begin before the file does, its phrase may still stand in the file.
     first = F.col("offset") + F.col("at")
-    placed = votes.join(F.broadcast(templates), "template").join(files.select("file", "words"), "file")
-    stands = (first >= 0) & (F.slice("words", F.greatest(first, F.lit(0)) + 1, F.size("key")) == F.col("key"))
+    placed = hits.join(F.broadcast(templates), "word").withColumn("offset", F.col("i") - F.col("place") - F.col("low"))
+    stands = (first >= 0) & (F.slice("near", F.greatest(first, F.lit(0)) + 1, F.size("key")) == F.col("key"))
     share = F.aggregate(
-        F.zip_with("weights", F.transform("body", lambda w, p: F.get("words", F.col("offset") + p) == w), lambda v, ok: F.when(ok, v).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b
+        F.zip_with("weights", F.transform("body", lambda w, p: F.get("near", F.col("offset") + p) == w), lambda v, ok: F.when(ok, v).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b
     ) / F.aggregate("weights", F.lit(0.0), lambda a, b: a + b)
     found = placed.filter(stands).groupBy("file", "template").agg(F.first("label").alias("label"), F.max(share).alias("share"))
     found = found.groupBy("file").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))

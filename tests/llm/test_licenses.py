@@ -37,3 +37,12 @@ def test_only_files_with_a_whole_key_word_are_looked_up(spark):
     folder = common.work_dir(spark)
     assert licenses.scan_licenses(docs, folder).count() == len(texts)
     assert [r.doc_id for r in spark.read.parquet(f"{folder}/files").collect()] == [2]
+
+
+def test_every_license_of_a_bundle_is_found(spark):
+    whole = {label: text for label, _, text in reversed(licenses.TEMPLATES)}
+    bundle = " ".join(whole[k] for k in ("mit-text", "apache-2.0", "gpl-3.0")) + " " + whole["cc-by-4.0"] + " " + whole["mit-notice"]
+    docs = spark.createDataFrame([(0, bundle), (1, "x " * 900 + " ".join(whole.values()))] + [(k, "plain words") for k in range(2, 9)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs, common.work_dir(spark)).collect()}
+    assert {"mit-text", "apache-2.0", "gpl-3.0", "cc-by-4.0", "mit-notice"} <= set(got[0].labels.split(","))
+    assert set(whole) <= set(got[1].labels.split(",")) and got[0].score == got[1].score == 1 and got[2].labels == ""
