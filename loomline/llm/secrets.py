@@ -58,9 +58,17 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", ("akia",), 0, 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", ()),  # a run of fewer digits would fail, and runs don't overlap
 )
+#: A private key through its END line (before another key begins), or where that is missing through its headers and
+#: lines of base64; line ends may be written as escapes.
+_LINE = r"(?:[\s\"'+,]|\\[nrt])"
+_PEM = (
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1-----"
+    rf"|(?:{_LINE}+[A-Z][A-Za-z-]+: [^\n\\]*)*(?:{_LINE}+[A-Za-z0-9/][A-Za-z0-9+/]{{15,}}={{0,2}})*(?:(?<=[A-Za-z0-9+/]{{16}}){_LINE}+[A-Za-z0-9+/]{{1,15}}={{0,2}}(?=[ \t\"']*(?:[\r\n\\]|$)))?)"
+)
 #: Further kinds of this library's own.
 MORE = (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", ("private key-----",)),
+    Rule("pem", 2, _PEM, ("private key-----", "private key block-----")),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", ("eyj",)),
     Rule("forge", 1, r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-")),
     Rule("chat", 1, r"xox[abeprs]-[A-Za-z0-9-]{10,}", ("xox",)),
