@@ -75,8 +75,8 @@ MORE = (
     Rule("url", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/@]{1,200}@", ("://",)),
 )
 RULES = BASE + MORE
-LEDGER = "blob binary, rules array<string>, spans array<struct<start:int,rank:int,kind:string,end:int>>"
-_SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
+LEDGER = "blob binary, rules array<string>, spans array<struct<start:int,rank:int,kind:string,end:int,rule:string>>"
+_SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("rule", pa.string())])
 
 
 def blob_of(text: Column) -> Column:
@@ -111,18 +111,25 @@ def extend_ledger(docs: DataFrame, ledger: DataFrame | None, path: str, rules: t
             out = []
             for text, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lowered = text.lower()
-                found = sorted((a, rank[key][0], rank[key][1].kind, b) for key in keys for a, b in rank[key][1].spans(text, lowered))
-                out.append([dict(zip(("start", "rank", "kind", "end"), x, strict=True)) for x in found])
+                found = sorted((a, rank[key][0], rank[key][1].kind, b, key) for key in keys for a, b in rank[key][1].spans(text, lowered))
+                out.append([dict(zip(("start", "rank", "kind", "end", "rule"), x, strict=True)) for x in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(_SPAN))], names=["blob", "rules", "spans"])
 
     return common.written(pending.select("blob", "text", "pending").mapInArrow(run, LEDGER), path)
 
 
 def spans_of_blobs(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, spans of the blobs in which these rules found something, spans in order."""
+    """blob, spans of the blobs in which these rules found something, spans in the order of start and of these rules.
+
+    What other rules or versions found is left out. Spans of a ledger written without their rule belong to the version
+    of their kind that their row was scanned with.
+    """
     known = F.array(*(F.lit(r.key) for r in rules))
-    rows = ledger.filter(F.size("spans") > 0).filter(F.arrays_overlap("rules", known))
-    return rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    rule = lambda s: F.coalesce(s["rule"], F.get(F.filter("rules", lambda r: F.startswith(r, F.concat(s["kind"], F.lit("@")))), F.lit(0)))
+    wanted = F.filter("spans", lambda s: F.array_contains(known, rule(s)))
+    rows = ledger.select("blob", F.transform(wanted, lambda s: F.struct(s["start"].alias("start"), F.array_position(known, rule(s)).cast("int").alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("spans"))
+    rows = rows.filter(F.size("spans") > 0)
+    return rows.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
