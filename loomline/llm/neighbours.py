@@ -28,8 +28,6 @@ TABLES, CELL, WIDTH = 6, 2048, 1.2
 RECALL = 0.97
 #: Vectors of which distances are learned, and how many of them are queries there.
 SAMPLE, SAMPLE_QUERIES = 4096, 64
-#: Candidates of a block that are ranked exactly, beyond those wanted.
-SPARE = 8
 
 
 def usable(vector: Column) -> Column:
@@ -104,11 +102,12 @@ class Tables:
 
 
 def _fit(distinct: DataFrame, wanted: int) -> Tables | None:
-    """Size, number and longest length of all vectors; the distance of neighbours from a sample of at most SAMPLE."""
+    """Commonest size (of two, the larger), number and longest length of all vectors; the distance of neighbours from a sample of at most SAMPLE."""
     squares = F.aggregate(F.transform("vector", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    size = distinct.agg(F.max(F.size("vector"))).first()[0]
-    if size is None:
+    sizes = distinct.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
+    if sizes is None:
         return None
+    size = sizes["size"]
     distinct = distinct.filter(F.size("vector") == size)
     n, longest = distinct.agg(F.count("*"), F.sqrt(F.max(squares))).first()
     rows = distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
@@ -130,7 +129,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, folder: str, wanted: int = 2
 
     Nearness is the largest inner product in double precision, ties go to the smaller id; a query's own id is no
     candidate. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without
-    id or of another length than the longest vectors'. Repeated rows count once. Empty tables give an empty result. Only the two
+    id or of another length than most distinct vectors (of two equally common ones, the longer). Repeated rows count once. Empty tables give an empty result. Only the two
     named columns are read. Tables for the run are written to folder.
     """
     spark = vectors.sparkSession
@@ -174,12 +173,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, folder: str, wanted: int = 2
         def answer(questions: list) -> pa.RecordBatch:
             q = np.array([v for v, _ in questions], dtype=np.float64)
             scores = q @ matrix.T
-            keep = min(wanted + SPARE, len(own))
-            best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+            # One more than wanted, as one may be the query itself; what the two ways to sum can differ by is allowed for.
+            keep = min(wanted + 1, len(own))
+            slack = 4 * size * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * shared.value.longest
+            least = np.partition(scores, len(own) - keep, axis=1)[:, len(own) - keep] - slack
+            best = [np.flatnonzero(s >= x) for s, x in zip(scores, least, strict=True)]
             out = []
             for n, (_, query_id) in enumerate(questions):
                 exact = exact_scores(matrix[best[n]], q[n])
-                found = sorted((-s, i) for s, b in zip(exact.tolist(), best[n].tolist(), strict=True) for i in own[b] if i != query_id)[:wanted]
+                found = heapq.nsmallest(wanted, ((-s, i) for s, b in zip(exact.tolist(), best[n].tolist(), strict=True) for i in own[b] if i != query_id))
                 out.append([{"less": s, "vec_id": i} for s, i in found])
             return pa.RecordBatch.from_arrays([pa.array([i for _, i in questions], pa.int64()), pa.array(out, _PAIR)], names=["query_id", "found"])
 

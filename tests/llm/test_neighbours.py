@@ -48,3 +48,15 @@ def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [0.5, 0.5]), (8, [0.5, 0.5]), (None, [1.0, 1.0]), (9, [1.0])]
     assert {q: [i for _, i in v] for q, v in found(spark, rows, rows).items()} == {1: [8], 8: [1]}
     assert found(spark, [], []) == {} and found(spark, rows[:2], []) == {} and found(spark, rows[1:3], rows[:1]) == {}
+
+
+def test_the_smallest_ids_of_many_tied_vectors_are_taken(spark):
+    rng = np.random.RandomState(5)
+    rows = [(1000 - k, [1.0] + [float(k >> j & 1) for j in range(7)]) for k in rng.permutation(100).tolist()]
+    queries = [(5000, [1.0] + [0.0] * 7), rows[0]]
+    assert found(spark, rows, queries) == brute_force(rows, queries)
+
+
+def test_one_longer_vector_takes_no_result_away(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.0, 1.0]), (4, [1.0, 1.0, 1.0])]
+    assert [i for _, i in found(spark, rows, rows[:1])[1]] == [2, 3]
