@@ -2,8 +2,8 @@
 
 Method: the pages of a host are merged into one tree of styles: a node is the path of tags and classes from the root. A
 node's importance is the entropy of what its instances hold, over the pages that have it, so that content of which
-every page has its own is important and what a template repeats isn't. Branches of low importance are removed from each
-page, as are those whose tag or name says that they present no content (menus, forms, adverts and so on). What is
+every page has its own is important and what a template repeats isn't. At nodes of low importance, contents that several
+distinct pages have are removed; one that a single page has stays. Also removed are branches whose tag or name says that they present no content (menus, forms, adverts and so on). What is
 merged is counted by (host, node, content) first, so that a host with a third of all pages is spread over all tasks;
 whole copies of a page count once.
 """
@@ -130,23 +130,31 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """From host and html: host, node, pages that have it, and its importance from 0 (the same on all) to 1."""
+def _parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host; page: a hash of all texts; nodes and texts of its blocks; tree: each node with a hash of what
+    it holds."""
+    kind = pages.schema["page_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nodes: dict[str, list[str]] = {}
-                for path, text in blocks(source or ""):
-                    nodes.setdefault(path, []).append(text)
-                page = _hash(*(t for v in nodes.values() for t in v))
-                rows += [(host, page, _hash(path), _hash(*texts)) for path, texts in nodes.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["host", "page", "node", "content"])
-
-    rows = pages.mapInArrow(run, "host string, page long, node long, content long").distinct()  # copies of a page once
-    counts = rows.groupBy("host", "node", "content").agg(F.count("*").alias("n"))
+            out = []
+            for source in batch.column(3).to_pylist():
+                found = blocks(source or "")
+                held: dict[str, list[str]] = {}
+                for path, text in found:
+                    held.setdefault(path, []).append(text)
+                page = _hash(*(t for v in held.values() for t in v))
+                out.append((page, [_hash(path) for path, _ in found], [t for _, t in found], [{"node": _hash(path), "content": _hash(*v)} for path, v in held.items()]))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.struct([("node", pa.int64()), ("content", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=["page_id", "url", "host", "page", "nodes", "texts", "tree"])
+
+    return pages.select("page_id", "url", "host", "html").mapInArrow(run, f"page_id {kind.simpleString()}, url string, host string, page long, nodes array<long>, texts array<string>, tree array<struct<node:long,content:long>>")
+
+
+def style_tree(counts: DataFrame) -> DataFrame:
+    """From host, node, content and n, the distinct pages with it: host, node, pages that have the node, and its
+    importance from 0 (the same on all) to 1."""
     total, spread = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     nodes = counts.groupBy("host", "node").agg(total.alias("pages"), (F.log(total) - spread / total).alias("entropy"))
     return nodes.select("host", "node", "pages", F.when(F.col("pages") > 1, F.col("entropy") / F.log("pages")).otherwise(1.0).alias("importance"))
@@ -156,26 +164,22 @@ def extract_main_text(pages: DataFrame, folder: str, least_importance: float = L
     """One row for each row of pages: page_id, url, text, n_chars, removed (blocks that the style tree took away).
 
     A null html counts as empty, and a page without blocks has an empty text. A null url belongs to a host of its own,
-    without name. Nodes on fewer than least_pages distinct pages of a host are kept. Repeated rows and null ids stay;
-    an empty table gives an empty result; other columns aren't read.
+    without name. Nodes on fewer than least_pages distinct pages of a host are kept, as is what only one distinct page
+    has at a node. Repeated rows and null ids stay; an empty table gives an empty result; other columns aren't read.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
-    # The branches to remove, host by host: a template has few, and sets are built from distinct nodes only.
-    poor = style_tree(pages.select("host", "html")).filter((F.col("importance") < least_importance) & (F.col("pages") >= least_pages))
-    # Written, so that both sides of the join are dealt out anew and Spark can split a host with very many pages.
-    poor = common.written(poor.groupBy("host").agg(F.collect_set("node").alias("poor")), f"{folder}/poor")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, removed = [], []
-            for source, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found = blocks(source)
-                drop = set(nodes or ())
-                kept = [t for path, t in found if not drop or _hash(path) not in drop]
-                texts.append("\n\n".join(kept))
-                removed.append(len(found) - len(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "n_chars", "removed"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    joined = pages.join(poor, "host", "left").select("page_id", "url", "html", "poor")
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, removed long")
+    parsed = common.written(_parsed(pages), f"{folder}/parsed")
+    rows = parsed.select("host", "page", F.explode("tree").alias("x")).select("host", "page", "x.node", "x.content").distinct()  # copies of a page once
+    rows = common.written(rows, f"{folder}/rows")
+    counts = common.written(rows.groupBy("host", "node", "content").agg(F.count("*").alias("n")), f"{folder}/counts")
+    poor = style_tree(counts).filter((F.col("importance") < least_importance) & (F.col("pages") >= least_pages)).select("host", "node")
+    # Written, so that both sides of the joins are dealt out anew and Spark can split what very many pages have.
+    repeated = common.written(counts.filter("n > 1").join(poor, ["host", "node"], "left_semi").select("host", "node", "content"), f"{folder}/repeated")
+    # Page by page and not host by host, as a large host may have many contents that repeat.
+    drop = rows.join(repeated, ["host", "node", "content"], "left_semi").groupBy("host", "page").agg(F.collect_set("node").alias("poor"))
+    drop = common.written(drop, f"{folder}/drop")
+    joined = parsed.join(drop, ["host", "page"], "left")
+    blocks_of = F.arrays_zip("nodes", "texts")
+    kept = F.when(F.col("poor").isNull(), F.col("texts")).otherwise(F.transform(F.filter(blocks_of, lambda x: ~F.array_contains("poor", x["nodes"])), lambda x: x["texts"]))
+    out = joined.select("page_id", "url", F.array_join(kept, "\n\n").alias("text"), (F.size("texts") - F.size(kept)).cast("long").alias("removed"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "removed")

@@ -55,3 +55,10 @@ def test_odd_pages(spark):
     got = h.extract_main_text(pages, common.work_dir(spark)).collect()
     assert len(got) == 6 and sorted(r.text for r in got if r.page_id == 1) == ["a", "a"] and all(r.text is not None for r in got)
     assert h.extract_main_text(pages.limit(0), common.work_dir(spark)).count() == 0
+
+
+def test_what_one_page_alone_has_is_kept_on_a_host_of_stubs(spark):
+    rows = [(k, f"http://s.example/{k}", f"<article><h1>title {k}</h1><p>{'please log in' if k < 850 else f'body of {k}'}</p></article>") for k in range(1000)]
+    got = {r.page_id: r for r in h.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), common.work_dir(spark)).collect()}
+    assert all((got[k].text, got[k].removed) == (f"title {k}", 1) for k in range(850))
+    assert all((got[k].text, got[k].removed) == (f"title {k}\n\nbody of {k}", 0) for k in range(850, 1000))
