@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -33,9 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a master of one machine gets a temporary one; on
+    executors of other machines it would be another folder for each, so there it is an error."""
     ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomline-"))
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomline-"))
     return f"{base}/loomline-{uuid.uuid4().hex}"
 
 
@@ -55,3 +64,19 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """batch in parts of at most rows rows and, in the column of texts, size bytes (unless one row alone has more)."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        n = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right"))
+        n = min(max(n, at + 1), at + rows)
+        yield batch.slice(at, n - at)
+        at = n
+
+
+def lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """A column of lists from all their values one after another."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, kind))

@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm import worker
+from loomline.llm import common, worker
 from loomline.llm.wordbpe import Memo
 
 #: The mark of a word's beginning, and by how much an unknown character scores below the worst piece.
@@ -32,8 +32,8 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class UnigramCounter:
-    def __init__(self, pieces: list[tuple[str, float]], limit: int = 1_000_000):
-        """limit: words whose counts are kept before the cache starts anew; it bounds memory only."""
+    def __init__(self, pieces: list[tuple[str, float]], room: int = 64 << 20):
+        """room: bytes of the cache of words' counts; it bounds memory only."""
         self.automaton = ahocorasick.Automaton()
         for i, (piece, score) in enumerate(pieces):
             if SPACE in piece.lstrip(SPACE):
@@ -45,28 +45,41 @@ class UnigramCounter:
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         names = {p for p, _ in pieces}
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
-        self.counts = Memo(self.count_word, limit)
+        self.counts = Memo(lambda word: self.count_word(word)[0], room)
+        self.edges = Memo(self.count_word, room)
 
-    def count_word(self, word: str) -> int:
-        """Pieces of the best segmentation of a word with its mark; an unknown character falls back to its bytes."""
+    def count_word(self, word: str) -> tuple[int, bool, bool]:
+        """Pieces of the best segmentation of a word with its mark, and whether the first and the last of them are unknown.
+
+        An unknown character falls back to its bytes; without pieces for bytes, unknown characters side by side are one.
+        """
         n = len(word)
         score, count, starts = [0.0] + [None] * n, [0] * (n + 1), [[] for _ in range(n)]
+        unknown = [False] * (n + 1)  # whether the best way to a place ends with an unknown character
+        opening = [False] * (n + 1)  # whether it begins with one
         for end, (length, value) in self.automaton.iter(word) if len(self.automaton) else ():
             starts[end + 1 - length].append((end + 1, value))
         for at in range(n):
-            here, so_far = score[at], count[at]
+            here, so_far, opened = score[at], count[at], opening[at]
             single = False
             for end, value in starts[at]:
                 single |= end == at + 1
                 if score[end] is None or here + value > score[end]:
-                    score[end], count[end] = here + value, so_far + 1
+                    score[end], count[end], unknown[end], opening[end] = here + value, so_far + 1, False, opened
             if not single and (score[at + 1] is None or here + self.unknown > score[at + 1]):
-                score[at + 1], count[at + 1] = here + self.unknown, so_far + (len(word[at].encode()) if self.bytes else 1)
-        return count[n]
+                more = len(word[at].encode()) if self.bytes else int(not unknown[at])
+                score[at + 1], count[at + 1], unknown[at + 1], opening[at + 1] = here + self.unknown, so_far + more, True, opened or at == 0
+        return count[n], opening[n], unknown[n]
 
     def count(self, text: str) -> int:
         """A piece may be a run of marks and may begin with one, so words end before marks. A newline is no piece."""
-        return sum(map(self.counts.__getitem__, _WORDS.findall(SPACE + text.replace(" ", SPACE)))) if text else 0
+        words = _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if self.bytes:
+            return sum(map(self.counts.__getitem__, words))
+        total, last = 0, False
+        for n, first, end in map(self.edges.__getitem__, words):  # unknown characters join across words as well
+            total, last = total + n - (last and first), end
+        return total
 
 
 def load(path: str) -> UnigramCounter:
@@ -83,6 +96,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counter.count(t.as_py() or "") for t in batch.column(1)], pa.int64())], names=["doc_id", "n_tokens"])
+            n = [counter.count(t or "") for part in common.slices(batch, 1) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long")

@@ -110,13 +110,12 @@ class Table:
 
 def _tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = wordbpe.load(path, wordbpe.LibraryWords), None
-        end, squeeze = np.array([end_id], words.dtype), zstandard.ZstdCompressor(level=3)
+        words = wordbpe.load(path, wordbpe.LibraryWords)
+        end, squeeze = np.array([end_id], words.dtype).tobytes(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [np.concatenate([words.encode_array(text or ""), end]) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([squeeze.compress(x.tobytes()) for x in ids], pa.binary())], names=["doc_id", "ids"])
+            for part in common.slices(batch, 1):
+                ids = words.encode_all([text or "" for text in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([squeeze.compress(x.tobytes() + end) for x in ids], pa.binary())], names=["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
@@ -156,7 +155,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1,
     """
     spark = docs.sparkSession
     dtype = _dtype(path)
-    size = max(len(wordbpe.load(path, wordbpe.LibraryWords).pieces), end_id + 1)
+    size = max(wordbpe.load(path, wordbpe.LibraryWords).size, end_id + 1)
     tokens = common.written(_tokenised(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), path, end_id), f"{folder}/tokens", compression="none")
     lengths = code_lengths(_counts(tokens, dtype, size))
     spark.createDataFrame(list(enumerate(lengths.tolist())), "id int, length int").coalesce(1).write.parquet(f"{folder}/code")

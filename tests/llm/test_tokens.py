@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,10 +37,38 @@ def test_same_counts_as_the_library(text):
     assert token_counts.load(PIECES).count(text) == want
 
 
-def test_a_cache_that_starts_anew_changes_nothing():
-    small = wordbpe.WordBpe(WORDS, limit=3)
-    text = "the quick brown fox jumps over the lazy dog, twice; the end"
-    assert small.encode(text) == ids_of(text) and len(small.words) <= 3
+@given(st.text("abz日 \n▁", max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_unknown_characters_side_by_side_are_one_without_byte_pieces(text):
+    pieces = [("<unk>", 0.0), ("▁", -2.0), ("▁a", -1.0), ("a", -1.5), ("ab", -1.0), ("b", -3.0)]
+    for own in (pieces, [p for p in pieces if p[0] != "▁"]):
+        library = Tokenizer(models.Unigram(own, 0, False))
+        want = len(library.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids) if text else 0
+        assert token_counts.UnigramCounter(own).count(text) == want
+
+
+@pytest.mark.parametrize("kind", [wordbpe.WordBpe, wordbpe.LibraryWords])
+def test_a_cache_that_starts_anew_changes_nothing(kind):
+    small = kind(WORDS, room=4000)
+    text = "the quick brown fox jumps over the lazy dog, twice; the end " * 3 + "x" * 500 + " don't stop, İ ³ é!"
+    assert small.encode_all([text, "", "fox"])[0].tolist() == ids_of(text)
+    assert small.encode(text) == ids_of(text) and len(small.tokens) + len(small.tokens.before) < 30
+    assert max(map(len, small.tokens)) <= wordbpe.Memo.LONGEST
+
+
+@given(st.lists(st.lists(st.integers(0, 49407), max_size=12), min_size=1, max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_decoding_by_offsets(lists):
+    words, ids = wordbpe.load(WORDS), np.array([i for x in lists for i in x], np.uint16)
+    ends = np.cumsum([len(x) for x in lists])
+    assert [bytes(x).decode() for x in words.pieces.joined(ids, ends)] == [LIBRARY.decode(x, skip_special_tokens=False) for x in lists]
+    assert [bytes(x).decode() for x in words.decimals.joined(ids, ends)] == [" ".join(map(str, x)) for x in lists]
+
+
+def test_slices_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["aaaa", None, "b" * 30, "", "cc", "d" * 9, "e", "f"])], names=["i", "t"])
+    assert [x.column(0).to_pylist() for x in common.slices(batch, 1, 10)] == [[0, 1], [2], [3, 4], [5, 6], [7]]
+    assert [x.num_rows for x in common.slices(batch, 1, 1000, 3)] == [3, 3, 2] and not list(common.slices(batch.slice(0, 0), 1))
 
 
 @pytest.mark.parametrize("counts", [[0, 0, 5], [1, 1], [1] * 300, [2**k for k in range(40)], [0]])
