@@ -71,8 +71,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.enter("minhash")
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in common.slices(batch, 1):
                 rows = []
                 with np.errstate(over="ignore"):
                     for s in shingles.shingle_sets(part.column(1).to_pylist()):
@@ -92,8 +91,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in common.slices(batch, 6):
                 h1, h2 = part.column(4).to_pylist(), part.column(5).to_pylist()
                 keep, out = [], []
                 for k, s in enumerate(shingles.shingle_sets(part.column(6).to_pylist())):

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,6 @@ NAMES = ("bytes", "words", "upper", "symbols", "punctuation", "exclaims", "bars"
 
 def statistics(text: str | None) -> list[float]:
     """The values named in NAMES, transformed to be closer to normal; an empty or null text has those of no words."""
-    worker.enter("quality")
     raw = (text or "").encode(errors="surrogatepass")
     data = np.frombuffer(raw, np.uint8)
     n = max(1, len(data))
@@ -68,9 +66,10 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def statistics_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([statistics(t) for t in texts])
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def statistics_of(texts: pa.Array) -> pa.Array:
+    worker.enter("quality")
+    return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
 
 @dataclass(frozen=True)
@@ -133,13 +132,12 @@ def fit(features: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -> Model
     return Model(tuple(parts))
 
 
-def _scorer(model: Model, of_text: bool):
-    @F.pandas_udf(T.DoubleType())
-    def score(column: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in column] if of_text else column.tolist(), dtype=float).reshape(-1, len(NAMES))
-        return pd.Series(model.scores(x))
+def score_of(model: Model, statistics: str) -> Column:
+    @F.arrow_udf(T.DoubleType())
+    def score(column: pa.Array) -> pa.Array:
+        return pa.array(model.scores(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))), pa.float64())
 
-    return score
+    return score(F.col(statistics))
 
 
 def classified(docs: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
@@ -153,11 +151,17 @@ def classified(docs: DataFrame, labels: DataFrame, folder: str, id_col: str = "d
     features = docs.select(F.col(id_col).alias("doc_id"), statistics_of(F.col(text_col)).alias("x"))
     features = common.written(features, f"{folder}/statistics")
     model = fit(features, labels)
-    score = _scorer(model, of_text=False)
-    out = features.select("doc_id", (~training_rows(F.col("doc_id"))).alias("held_out"), score("x").alias("score"))
+    out = features.select("doc_id", (~training_rows(F.col("doc_id"))).alias("held_out"), score_of(model, "x").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), model
 
 
-def of_good_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, that the model doesn't reject."""
-    return docs.filter(_scorer(model, of_text=True)(F.col(text_col)) >= 0.5)
+def of_good_quality(docs: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, that the classifier fitted to docs and labels doesn't reject.
+
+    Nulls, repeats, missing labels and empty tables count as in classified. The rows are written to folder with their
+    statistics, so that texts are read once for the fit and the scores.
+    """
+    name = common.free_name(docs, "statistics")
+    rows = common.written(docs.withColumn(name, statistics_of(F.col(text_col))), f"{folder}/rows-and-statistics")
+    model = fit(rows.select(F.col(id_col).alias("doc_id"), F.col(name).alias("x")), labels)
+    return rows.filter(score_of(model, name) >= 0.5).select(*docs.columns)

@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,12 +107,13 @@ def extend_ledger(docs: DataFrame, ledger: DataFrame | None, path: str, rules: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.enter("secrets")
         for batch in batches:
-            out = []
-            for text, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                lowered = text.lower()
-                found = sorted((a, rank[key][0], rank[key][1].kind, b, key) for key in keys for a, b in rank[key][1].spans(text, lowered))
-                out.append([dict(zip(("start", "rank", "kind", "end", "rule"), x, strict=True)) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(_SPAN))], names=["blob", "rules", "spans"])
+            for part in common.slices(batch, 1):
+                out = []
+                for text, keys in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    lowered = text.lower()
+                    found = sorted((a, rank[key][0], rank[key][1].kind, b, key) for key in keys for a, b in rank[key][1].spans(text, lowered))
+                    out.append([dict(zip(("start", "rank", "kind", "end", "rule"), x, strict=True)) for x in found])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.list_(_SPAN))], names=["blob", "rules", "spans"])
 
     return common.written(pending.select("blob", "text", "pending").mapInArrow(run, LEDGER), path)
 
@@ -153,24 +153,28 @@ def scan_secrets(docs: DataFrame, path: str, ledger: DataFrame | None = None, ru
     return rows.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
-@F.pandas_udf(T.StringType())
-def _redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _redacted(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
     for text, found in zip(texts, spans, strict=True):
-        parts, at = [], 0
-        for s in found:
+        text, parts, at = text.as_py(), [], 0
+        for s in found.as_py():
             if s["end"] > at:
                 if s["start"] >= at:
                     parts += [text[at : s["start"]], f"<{s['kind']}>"]
                 at = s["end"]
         out.append("".join(parts) + text[at:])
-    return pd.Series(out)
+    return pa.array(out, pa.string())
 
 
-def redacted(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """The rows of docs with every secret replaced by its kind; length_col, if given, gets the new number of characters."""
-    found = common.written(spans_of_blobs(extend_ledger(docs, None, path, rules, text_col), rules), f"{path}-found")
-    blob, spans = "__blob", "__spans"
+def redacted(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str | None = None, ledger: DataFrame | None = None) -> DataFrame:
+    """The rows of docs with every secret replaced by its kind; length_col, if given, gets the new number of characters.
+
+    Null texts and texts without findings stay as they are, repeated rows too. What ledger knows isn't scanned again.
+    """
+    new = extend_ledger(docs, ledger, path, rules, text_col)
+    found = common.written(spans_of_blobs(new if ledger is None else ledger.unionByName(new), rules), f"{path}-found")
+    blob, spans = common.free_name(docs, "blob"), common.free_name(docs, "found_spans")
     rows = docs.withColumn(blob, blob_of(F.col(text_col))).join(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
     hit = rows.filter(F.col(spans).isNotNull()).withColumn(text_col, _redacted(F.col(text_col), F.col(spans)))
     if length_col:
