@@ -15,29 +15,25 @@ from pyspark.sql import functions as F
 
 from loomline.llm import bpe, common, decontaminate, minhash, quality, secrets
 
-#: Names of columns that stages add for a join and drop again; no table has them.
-_ID = "__doc_id"
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects. Without labels nothing is dropped."""
-    _, model = quality.classified(docs, common.table(spark, sf_dir, "labels"), common.work_dir(spark))
-    return quality.of_good_quality(docs, model)
+    return quality.of_good_quality(docs, common.table(spark, sf_dir, "labels"), common.work_dir(spark))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates; rows without id stay, and so do
-    repeated rows of the document that is kept."""
+    repeated rows of the document that is kept. Rows of one id are one document: they go together."""
     found = minhash.near_duplicates(docs, common.work_dir(spark))
-    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias(_ID)).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped[_ID], "left_anti")
+    return docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item; rows without id stay, as nothing can be said about them."""
-    hits = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"), common.work_dir(spark))
-    dropped = hits.select(F.col("doc_id").alias(_ID)).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped[_ID], "left_anti")
+    """Drops every row whose text holds a benchmark item, rows without id too: the search goes by the text's 64-bit hash."""
+    key = common.free_name(docs, "text_hash")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    hits = decontaminate.contaminated(keyed, common.table(spark, sf_dir, "benchmark"), common.work_dir(spark), id_col=key)
+    return keyed.join(hits.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
