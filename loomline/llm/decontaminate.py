@@ -24,6 +24,8 @@ from loomline.llm import common, shingles, worker
 SPAN, HALF = 32, 16
 #: Latent dimensions, columns of the random test matrix, items in one block, and words in one of its vocabularies.
 RANK, WIDTH, ITEMS, WORDS = 96, 104, 2000, 65_000
+#: Values of one byte that tell which item has which word; cosines or sums in memory at once; words of a long item.
+HELD, SUMS, LONG_ITEM = 1 << 26, 1 << 22, 4096
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.full(256, 32, np.uint8)
@@ -72,19 +74,13 @@ def _tokens(docs: DataFrame, known: np.ndarray) -> DataFrame:
         squeeze, known = zstandard.ZstdCompressor(level=1), shared.value
         size = len(known)
         for batch in batches:
-            out, raws = [], [(t.as_py() or "").encode(errors="surrogatepass") for t in batch.column(1)]
-            at = 0
-            while at < len(raws):
-                n, total = at, 0
-                while n < len(raws) and (n == at or total + len(raws[n]) < 1 << 19):
-                    total += len(raws[n]) + 1
-                    n += 1
-                h, counts = _hashes(raws[at:n])
+            out = []
+            for part in common.slices(batch, 1, 1 << 19):
+                h, counts = _hashes([(t.as_py() or "").encode(errors="surrogatepass") for t in part.column(1)])
                 place = np.searchsorted(known, h)
                 place[place == size] = 0
-                ids = np.where(known[place] == h, place, size).astype(np.uint16)
+                ids = np.where(known[place] == h, place, size).astype(np.uint32)
                 out += [squeeze.compress(x.tobytes()) for x in np.split(ids, np.cumsum(counts)[:-1])]
-                at = n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids binary")
@@ -97,7 +93,7 @@ class Passages:
         lengths = np.array([len(d) for d in docs])
         halves = np.maximum(1, -(-lengths // HALF))
         first = np.cumsum(halves) - halves
-        ids = np.concatenate(docs) if len(docs) else np.zeros(0, np.uint16)
+        ids = np.concatenate(docs) if len(docs) else np.zeros(0, np.uint32)
         place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         half = np.repeat(first, lengths) + place // HALF
         used = np.flatnonzero(weight[ids] > 0)
@@ -144,26 +140,46 @@ class Passages:
     def shared_terms(self, window: np.ndarray, item: np.ndarray, reach: np.ndarray, held: np.ndarray) -> np.ndarray:
         """For pairs of a passage and an item: how many terms (held[term, item], bytes) the passage and reach[item] halves
         to both sides have in common with it; a term in several halves counts in each."""
-        sums = np.zeros((self.n_halves + 1, held.shape[1]), np.uint8)  # a half has at most HALF terms
-        if len(self.ids):
-            first = np.flatnonzero(np.concatenate([[True], self.half[1:] != self.half[:-1]]))
-            n = np.diff(np.append(first, len(self.half)))
-            for k in range(int(n.max())):
-                at = first[n > k] + k
-                sums[self.half[at] + 1] += held[self.ids[at]]
-        upto = np.cumsum(sums, axis=0, dtype=np.int32)
         doc = self.doc[window]
         low = np.maximum(self.first[doc], self.start[window] - reach[item])
         high = np.minimum(self.after[doc], self.start[window] + 2 + reach[item])
-        return upto[high, item] - upto[low, item]
+        if not len(window):
+            return np.zeros(0, np.int32)
+        out = np.zeros(len(window), np.int32)
+        # Only the halves that are reached and items that a passage is near, so many of them that the sums are bounded.
+        begin, end = int(low.min()), int(high.max())
+        a, b = np.searchsorted(self.half, [begin, end])
+        half, ids = self.half[a:b] - begin, self.ids[a:b]
+        first = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]])) if len(half) else np.zeros(0, int)
+        n = np.diff(np.append(first, len(half)))
+        near, column = np.unique(item, return_inverse=True)
+        step = max(1, SUMS // (end - begin + 1))
+        for at in range(0, len(near), step):
+            columns = near[at : at + step]
+            sums = np.zeros((end - begin + 1, len(columns)), np.uint8)  # a half has at most HALF terms
+            for t in range(int(n.max(initial=0))):
+                place = first[n > t] + t
+                sums[half[place] + 1] += held[ids[place][:, None], columns]
+            upto = np.cumsum(sums, axis=0, dtype=np.int32)
+            own = np.flatnonzero((column >= at) & (column < at + step))
+            out[own] = upto[high[own] - begin, column[own] - at] - upto[low[own] - begin, column[own] - at]
+        return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], size: int = 64) -> Iterator[tuple[list, list[np.ndarray]]]:
-    read = zstandard.ZstdDecompressor()
+def _batches(batches: Iterator[pa.RecordBatch], words: int = 1 << 16) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Documents with their ids, at most 64 and, unless one alone has more, so many words at a time."""
+    read, docs, ids, n = zstandard.ZstdDecompressor(), [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            yield part.column(0).to_pylist(), [np.frombuffer(read.decompress(x), np.uint16) for x in part.column(1).to_pylist()]
+        for doc, packed in zip(*batch.columns, strict=True):
+            own = np.frombuffer(read.decompress(packed.as_py()), np.uint32)
+            if docs and (len(docs) == 64 or n + len(own) > words):
+                yield docs, ids
+                docs, ids, n = [], [], 0
+            docs.append(doc.as_py())
+            ids.append(own)
+            n += len(own)
+    if docs:
+        yield docs, ids
 
 
 def _frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -204,11 +220,14 @@ def _sum_of_products(tokens: DataFrame, weight: np.ndarray, vectors: np.ndarray,
             p = Passages(docs, weight)
             y = p.project(padded)
             total += p.spread(y, size) if twice else (y.T @ y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows), pa.int32()), *(pa.array(total[:, j]) for j in range(width))], names=["term"] + [f"v{j}" for j in range(width)])
+        seen = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *(pa.array(total[seen, j]) for j in range(width))], names=["term"] + [f"v{j}" for j in range(width)])
 
     names = [f"v{j}" for j in range(width)]
     out = np.zeros((rows, width))
-    sums = tokens.mapInArrow(run, "term int, " + ", ".join(f"{c} double" for c in names)).groupBy("term").agg(*(F.sum(c).alias(c) for c in names))
+    # Each task sends its sums, so tasks grow with the cluster and not with the corpus.
+    few = tokens.coalesce(8 * tokens.sparkSession.sparkContext.defaultParallelism)
+    sums = few.mapInArrow(run, "term int, " + ", ".join(f"{c} double" for c in names)).groupBy("term").agg(*(F.sum(c).alias(c) for c in names))
     for r in sums.collect():
         out[r.term] = r[1:]
     return out
@@ -224,23 +243,39 @@ def latent_space(tokens: DataFrame, weight: np.ndarray, rank: int = RANK, width:
     return q @ turn[:, np.argsort(-values)[:rank]]
 
 
-def common_subsequence(masks: dict[int, int], m: int, words: list[int]) -> int:
-    """Length of the longest common subsequence of words and an item of m words whose places masks has as bits."""
-    full = (1 << m) - 1
-    row = full
-    for w in words:
-        hit = masks.get(w)
-        if hit:
-            u = row & hit
-            row = (row + u | row - u) & full
-    return m - row.bit_count()
-
-
-def _masks(words: np.ndarray) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for k, w in enumerate(words.tolist()):
-        out[w] = out.get(w, 0) | 1 << k
-    return out
+class Masks:
+    """The places of an item's words as bits. Of a long item they are made when asked for, as all together would take
+    memory with the square of its length."""
+
+    def __init__(self, words: np.ndarray):
+        self.m, self.places, self.bits = len(words), {}, {}
+        for k, w in enumerate(words.tolist()):
+            self.places.setdefault(w, []).append(k)
+        if self.m <= LONG_ITEM:
+            self.bits = {w: self._make(places) for w, places in self.places.items()}
+
+    @staticmethod
+    def _make(places: list[int]) -> int:
+        out = bytearray(places[-1] // 8 + 1)
+        for k in places:
+            out[k >> 3] |= 1 << (k & 7)
+        return int.from_bytes(out, "little")
+
+    def get(self, w: int) -> int:
+        if self.m <= LONG_ITEM:
+            return self.bits.get(w, 0)
+        return self._make(self.places[w]) if w in self.places else 0
+
+    def subsequence(self, words: list[int]) -> int:
+        """Length of the longest common subsequence of words and the item."""
+        full = (1 << self.m) - 1
+        row = full
+        for w in words:
+            hit = self.get(w)
+            if hit:
+                u = row & hit
+                row = (row + u | row - u) & full
+        return self.m - row.bit_count()
 
 
 HITS = "doc_id long, item_id long, start_word long, end_word long, cosine double, common_words long, item_words long, answer_found boolean"
@@ -254,8 +289,11 @@ def _search(tokens: DataFrame, items: Items, weight: np.ndarray, space: np.ndarr
         size = len(space)
         padded = np.vstack([space, np.zeros((1, space.shape[1]))]).astype(np.float32)
         unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        goal = unit(np.stack([(padded[w] * weight[w, None]).sum(axis=0) for w in items.words])).astype(np.float32)
-        masks, own = [_masks(w) for w in items.words], [set(w.tolist()) for w in items.words]
+        # A passage can't be near an item of many times its length, so long items are searched by their own passages.
+        own = [(k, w[a : a + SPAN] if len(w) > 2 * SPAN else w) for k, w in enumerate(items.words) for a in range(0, len(w), SPAN if len(w) > 2 * SPAN else len(w))]
+        owner = np.array([k for k, _ in own])
+        goal = unit(np.stack([(padded[w] * weight[w, None]).sum(axis=0) for _, w in own])).astype(np.float32)
+        masks = [Masks(w) for w in items.words]
         held = np.zeros((size + 1, len(items.words)), np.uint8)
         for k, w in enumerate(items.words):
             held[w, k] = 1
@@ -264,33 +302,38 @@ def _search(tokens: DataFrame, items: Items, weight: np.ndarray, space: np.ndarr
         # Of an item's words, so many may be missing; each of its terms that isn't there is one of them.
         missing = (1 - min(similar, paraphrase)) * length
         enough = held.sum(axis=0) - missing
-        answers = [(_masks(a), len(a)) if a is not None else (None, 0) for a in items.answers]
+        # The item's last words stand for an answer that isn't given.
+        answers = [Masks(a if a is not None else w[len(w) - max(1, len(w) // 4) :]) for a, w in zip(items.answers, items.words, strict=True)]
         for ids, docs in _batches(batches):
             p = Passages(docs, weight)
-            near = unit(p.project(padded)) @ goal.T
-            window, item = np.nonzero(near >= cosine)
-            likely = p.shared_terms(window, item, reach, held) >= enough[item]
-            window, item = window[likely], item[likely]
+            place = unit(p.project(padded))
+            found = []
+            for first in range(0, len(place), step := max(1, SUMS // len(goal))):
+                near = place[first : first + step] @ goal.T
+                window, passage = np.nonzero(near >= cosine)
+                # The greatest cosine of each pair of a passage and an item.
+                order = np.lexsort((-near[window, passage], owner[passage], window))
+                window, item, value = window[order] + first, owner[passage][order], near[window, passage][order]
+                once = np.concatenate([[True], (window[1:] != window[:-1]) | (item[1:] != item[:-1])]) if len(window) else np.zeros(0, bool)
+                window, item, value = window[once], item[once], value[once]
+                likely = p.shared_terms(window, item, reach, held) >= enough[item]
+                window, item = window[likely], item[likely]
+                found += zip(p.doc[window].tolist(), item.tolist(), p.start[window].tolist(), value[likely].tolist(), strict=True)
             rows = []
-            for (doc, k), group in itertools.groupby(sorted(zip(p.doc[window].tolist(), item.tolist(), p.start[window].tolist(), near[window, item].tolist(), strict=True)), lambda x: x[:2]):
+            for (doc, k), group in itertools.groupby(sorted(found), lambda x: x[:2]):
                 m = len(items.words[k])
-                best = None
-                for at, value in ((x[2], x[3]) for x in group):
-                    begin = max(0, int(at - p.first[doc]) * HALF - m)
-                    region = docs[doc][begin : begin + SPAN + 2 * m].tolist()
-                    if len(own[k].intersection(region)) < len(own[k]) - missing[k]:
+                # Over at most one and a half times the item's length, so that chance matches far apart don't add up.
+                wide, step = m + m // 2, max(1, m // 4)
+                best, group = None, list(group)
+                starts = {s for _, _, at, _ in group for s in range(max(0, int(at - p.first[doc]) * HALF - m) // step, (int(at - p.first[doc]) * HALF + SPAN) // step + 1)}
+                n, value = answers[k].m, max(x[3] for x in group)
+                for begin in sorted(s * step for s in starts):
+                    region = docs[doc][begin : begin + wide + n].tolist()
+                    if len(masks[k].places.keys() & set(region[:wide])) < len(masks[k].places) - missing[k]:
                         continue
-                    # Not over more than one and a half times the item's length, so that chance matches far apart don't add up.
-                    wide, step = m + m // 2, max(1, m // 4)
-                    for shift in range(0, max(1, len(region) - m), step):
-                        length = common_subsequence(masks[k], m, region[shift : shift + wide])
-                        if best is None or length > best[0]:
-                            mask, n = answers[k]
-                            if mask is None:  # the item's last words stand for its answer
-                                n = max(1, m // 4)
-                                mask = {w: bits >> m - n for w, bits in masks[k].items() if bits >> m - n}
-                            answer = common_subsequence(mask, n, region[shift : shift + wide + n]) >= 0.8 * n
-                            best = (length, begin + shift, min(begin + shift + wide, len(docs[doc])), value, answer)
+                    length = masks[k].subsequence(region[:wide])
+                    if best is None or length > best[0]:
+                        best = (length, begin, min(begin + wide, len(docs[doc])), value, answers[k].subsequence(region) >= 0.8 * n)
                 if best and (best[0] >= similar * m or best[0] >= paraphrase * m and best[4]):
                     rows.append((ids[doc], items.ids[k], best[1], best[2], float(best[3]), best[0], m, bool(best[4])))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -301,11 +344,12 @@ def _search(tokens: DataFrame, items: Items, weight: np.ndarray, space: np.ndarr
 
 
 def _item_blocks(benchmark: DataFrame, columns: list[str]) -> Iterator[list]:
-    """Rows of the benchmark in blocks of at most ITEMS items and about WORDS words."""
+    """Rows of the benchmark in blocks of at most ITEMS items, WORDS words and HELD products of both, unless one item alone
+    has more words."""
     block, words = [], 0
     for row in benchmark.select(*columns).toLocalIterator():
-        more = len(row.text.split()) if row.text else 0
-        if block and (len(block) >= ITEMS or words + more > WORDS):
+        more = sum(int(n) for n in _hashes([(row[c] or "").encode(errors="surrogatepass") for c in columns[1:]])[1])
+        if block and (len(block) >= ITEMS or words + more > WORDS or (len(block) + 1) * (words + more) > HELD):
             yield block
             block, words = [], 0
         block.append(row)
@@ -318,6 +362,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, folder: str, cosine: flo
     """One row for each document and benchmark item that it holds: doc_id, item_id, the words in which it was found
     (start_word, end_word), cosine, common_words, item_words, answer_found.
 
+    Retrieval is by the benchmark's words alone: a passage without most of an item's words fails the check of
+    subsequences anyway, so an item told wholly in other words isn't found. Memory is bounded whatever a document's or an
+    item's length; the benchmark is read a block at a time, and each block passes over the corpus.
+
     An item is found where a common subsequence has at least the share similar of its words, or the share paraphrase
     and the answer too (answer_col of the benchmark, else its last quarter). Null or empty texts, and items without
     words or id, hold and match nothing; equal items are all reported; repeated rows of docs give repeated rows; empty

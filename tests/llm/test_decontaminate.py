@@ -14,13 +14,15 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_common_subsequence():
+def test_common_subsequence(monkeypatch):
     import numpy as np
 
     rng = random.Random(1)
     for _ in range(200):
         a, b = [rng.randrange(5) for _ in range(rng.randrange(1, 90))], [rng.randrange(6) for _ in range(rng.randrange(90))]
-        assert decontaminate.common_subsequence(decontaminate._masks(np.array(a)), len(a), b) == lcs(a, b)
+        for limit in (4096, 10):
+            monkeypatch.setattr(decontaminate, "LONG_ITEM", limit)
+            assert decontaminate.Masks(np.array(a)).subsequence(b) == lcs(a, b)
 
 
 def words(seed, n):
@@ -83,3 +85,53 @@ def test_altered_items_in_many_copies_are_found(spark):
         bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
         got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, common.work_dir(spark)).collect()}
         assert got == {(k, 0) for k in range(copies)}
+
+
+def test_a_benchmark_of_very_many_words(spark):
+    """More distinct words than two bytes number, in one item and over all."""
+    item = [f"w{k}" for k in range(70_000)]
+    rows = [(1, "begin " + " ".join(item) + " end"), (2, " ".join(words(3, 500) + [f"s{k}" for k in range(30)])), (3, " ".join(words(4, 300)))]
+    bench = [(1, " ".join(item)), (2, " ".join(f"s{k}" for k in range(30))), (3, " ".join(f"a-{k}" for k in range(70_000)))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, common.work_dir(spark)).collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
+def test_cosines_in_latent_space_against_plain_matrices(spark):
+    """The product that Spark sums up, and the candidates' cosines, from dense matrices of the same passages."""
+    import numpy as np
+
+    docs = [words(k, 20 + 7 * k) for k in range(30)]
+    known = sorted({w for d in docs[:10] for w in d[:12]})
+    place = {w: k for k, w in enumerate(known)}
+    ids = [np.array([place.get(w, len(known)) for w in d], np.uint32) for d in docs]
+    weight = np.append(np.linspace(1, 3, len(known)), 0.0)
+    dense = []
+    for d in ids:
+        halves = [set(d[a : a + decontaminate.HALF].tolist()) - {len(known)} for a in range(0, len(d), decontaminate.HALF)]
+        for k in range(max(1, len(halves) - 1)):
+            row = np.zeros(len(known))
+            for half in halves[k : k + 2]:
+                row[list(half)] += weight[list(half)]
+            dense.append(row)
+    a = np.array(dense)
+    p = decontaminate.Passages(ids, weight)
+    vectors = np.random.RandomState(1).standard_normal((len(known) + 1, 5))
+    vectors[-1] = 0
+    assert np.allclose(p.project(vectors), a @ vectors[:-1])
+    assert np.allclose(p.spread(p.project(vectors), len(known)), a.T @ a @ vectors[:-1])
+    held = np.random.RandomState(2).randint(0, 2, (len(known) + 1, 9)).astype(np.uint8)
+    held[-1] = 0
+    window, item = map(np.ravel, np.meshgrid(range(len(p.start)), range(9), indexing="ij"))
+    reach = np.arange(9) % 4
+    want = []
+    for w, i in zip(window, item, strict=True):
+        doc = p.doc[w]
+        at = (p.start[w] - p.first[doc]) * decontaminate.HALF
+        low, high = max(0, at - reach[i] * decontaminate.HALF), at + (2 + reach[i]) * decontaminate.HALF
+        d = ids[doc]
+        want.append(sum(held[x, i] for b in range(low, min(high, len(d)), decontaminate.HALF) for x in set(d[b : b + decontaminate.HALF].tolist())))
+    for sums in (1 << 22, 50):
+        decontaminate.SUMS, before = sums, decontaminate.SUMS
+        assert p.shared_terms(window, item, reach, held).tolist() == want
+        decontaminate.SUMS = before
