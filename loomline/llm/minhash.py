@@ -87,15 +87,17 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """grp, i, j, id, sig and the full set of each row of (grp, ..., text) whose text still has the set h1, h2."""
+    """id, grp, n_blocks, sig and the full set of each row whose text has the set h1, h2; repeated rows once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for part in common.slices(batch, 6):
-                h1, h2 = part.column(4).to_pylist(), part.column(5).to_pylist()
+                keys = list(zip(part.column(0).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True))
                 keep, out = [], []
                 for k, s in enumerate(shingles.shingle_sets(part.column(6).to_pylist())):
-                    if shingles.set_hash(s) == (h1[k], h2[k]):
+                    if keys[k] not in seen and shingles.set_hash(s) == keys[k][1:]:
+                        seen.add(keys[k])
                         keep.append(k)
                         out.append(s.tobytes())
                 part = part.take(pa.array(keep, pa.int32()))
@@ -105,7 +107,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _confirm(ids: list, block: list, sigs: list, sets: list, percent: int, least: float) -> list[tuple[int, int]]:
-    """Links that connect what links among these documents connect; between blocks where there are two."""
+    """ids may repeat, with other sets. Links that connect what links among these documents connect; between blocks where there are two."""
     up = list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -149,7 +151,7 @@ def _links(rows: DataFrame, percent: int, least: float) -> DataFrame:
         key, held = None, {}
 
         def close() -> pa.RecordBatch:
-            links = _confirm([h[0] for h in held.values()], [h[1] for h in held.values()], [h[2] for h in held.values()], [h[3] for h in held.values()], percent, least) if len(held) > 1 else []
+            links = _confirm(*map(list, zip(*held.values(), strict=True)), percent, least)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -158,7 +160,7 @@ def _links(rows: DataFrame, percent: int, least: float) -> DataFrame:
                     if len(held) > 1:
                         yield close()
                     key, held = (g, i, j), {}
-                held[doc] = (doc, block, sig, np.frombuffer(hashes, np.uint64))
+                held[doc, hashes] = (doc, block, sig, np.frombuffer(hashes, np.uint64))
         if len(held) > 1:
             yield close()
 
@@ -171,7 +173,7 @@ def near_duplicates(docs: DataFrame, folder: str, percent: int = 85, margin: flo
     Documents whose sets have 100 * intersection >= percent * union are linked; component_id is the smallest id that
     links reach. A pair is confirmed unless its estimate is below the threshold by margin, five standard errors. An
     empty or null text has no shingles and no links. A row without id takes no part: no component, kept. Repeated rows
-    are all returned. An empty table gives an empty result; other columns aren't read. Tables for the run are written
+    are all returned; texts of one id are one document, linked by what links any of them. An empty table gives an empty result; other columns aren't read. Tables for the run are written
     to folder.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from made_up_texts import prose
 
 from loomline.llm import common, components, minhash
 
@@ -75,6 +76,14 @@ def test_odd_documents(spark, odd_docs):
     assert minhash.near_duplicates(odd_docs.limit(0), common.work_dir(spark)).count() == 0
 
 
+def test_texts_of_one_id_keep_all_their_links(spark):
+    a, b = prose(21, 90), prose(22, 90)
+    rows = [(6, a), (6, b), (7, a + " more"), (8, b + " more"), (9, prose(23, 90))] + [(6, a)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = minhash.near_duplicates(docs, common.work_dir(spark)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(6, 6), (7, 6), (8, 6), (9, 9)}
+
+
 def test_chains_of_links(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 100), (201, 200), (200, 201)]
     got = components.components(spark.createDataFrame(links, "a long, b long"), common.work_dir(spark)).collect()
