@@ -73,8 +73,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int | None, size: int = 1 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """batch in parts of at most rows rows and, in the column of texts, size bytes (unless one row alone has more)."""
+    if column is None:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+        return
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:

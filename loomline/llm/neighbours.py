@@ -5,7 +5,8 @@ TABLES tables cuts k random projections into cells of one width. A query visits
 estimated success (the chance that a neighbour, at a distance learned from a sample, falls in the cell) until the
 table's share of the wanted recall is reached; candidates of all tables are ranked by the exact inner product.
 
-k grows with the logarithm of the number of vectors, so that a cell keeps about CELL of them. A cell with more is cut
+k grows with the logarithm of the number of vectors, so that a cell keeps about CELL of them, and is 1 at least. Vectors of
+another length than a query's have no inner product with it, so each length has tables of its own. A cell with more is cut
 into blocks; queries of a cell stream past one block at a time. Equal vectors are one candidate with its smallest ids,
 of which no query can need more than it wants neighbours (and one more for itself).
 """
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,17 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.ListArray, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+def _vectors(column: pa.ListArray) -> list[np.ndarray]:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.split(flat, np.cumsum(pc.list_value_length(column).to_numpy())[:-1]) if len(column) else []
+
+
+def _by_length(column: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each length of vectors in a column, the places of those that have it, and their matrix."""
+    vectors, lengths = _vectors(column), pc.list_value_length(column).to_numpy()
+    for size in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == size)
+        yield size, at, np.array([vectors[i] for i in at])
 
 
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -101,26 +112,31 @@ class Tables:
         return self._number(np.array(out, np.int64))
 
 
-def _fit(distinct: DataFrame, wanted: int) -> Tables | None:
-    """Commonest size (of two, the larger), number and longest length of all vectors; the distance of neighbours from a sample of at most SAMPLE."""
+def _fit(distinct: DataFrame, wanted: int) -> dict[int, Tables]:
+    """Tables of each length of vectors. The driver gets two numbers of each length and, to learn the distance of
+    neighbours from, at most SAMPLE vectors in all (64 of each length)."""
     squares = F.aggregate(F.transform("vector", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    sizes = distinct.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
-    if sizes is None:
-        return None
-    size = sizes["size"]
-    distinct = distinct.filter(F.size("vector") == size)
-    n, longest = distinct.agg(F.count("*"), F.sqrt(F.max(squares))).first()
-    rows = distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
-    x = np.array([r.vector for r in rows], dtype=np.float64)
-    q = x[:SAMPLE_QUERIES]
-    products = np.sort((q / np.linalg.norm(q, axis=1, keepdims=True) * longest) @ x.T, axis=1)
-    far = products[:, -1 - min(wanted, len(x) - 1)]  # of its own vector's too
-    distance = math.sqrt(max(1e-6, float(np.median(2 * longest**2 - 2 * far))))
-    k = max(0, math.ceil(math.log(max(1.0, n / CELL)) / math.log(5)))
-    return Tables(size, k, float(longest), distance)
+    sizes = distinct.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.sqrt(F.max(squares)).alias("longest")).collect()
+    each = max(64, SAMPLE // max(1, len(sizes)))
+    place = F.row_number().over(Window.partitionBy(F.size("vector")).orderBy(F.xxhash64("vector"), "vector"))
+    samples: dict[int, list] = {}
+    for r in distinct.select("vector").withColumn("place", place).filter(F.col("place") <= each).orderBy("place").select("vector").collect():
+        samples.setdefault(len(r.vector), []).append(r.vector)
+    out = {}
+    for r in sizes:
+        x = np.array(samples[r["size"]], dtype=np.float64)
+        q = x[:SAMPLE_QUERIES]
+        products = np.sort((q / np.linalg.norm(q, axis=1, keepdims=True) * r.longest) @ x.T, axis=1)
+        far = products[:, -1 - min(wanted, len(x) - 1)]  # of its own vector's too
+        distance = math.sqrt(max(1e-6, float(np.median(2 * r.longest**2 - 2 * far))))
+        # Where every vector is wanted by every query, no projection could leave one out.
+        k = max(1, math.ceil(math.log(r.n / CELL) / math.log(5))) if r.n > wanted + 1 else 0
+        out[r["size"]] = Tables(r["size"], k, float(r.longest), distance)
+    return out
 
 
 PAIRS = "query_id long, found array<struct<less:double,vec_id:long>>"
+_CELLS = pa.list_(pa.struct([("t", pa.int64()), ("cell", pa.int64())]))
 _PAIR = pa.list_(pa.struct([("less", pa.float64()), ("vec_id", pa.int64())]))
 
 
@@ -129,7 +145,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, folder: str, wanted: int = 2
 
     Nearness is the largest inner product in double precision, ties go to the smaller id; a query's own id is no
     candidate. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without
-    id or of another length than most distinct vectors (of two equally common ones, the longer). Repeated rows count once. Empty tables give an empty result. Only the two
+    id. Candidates of a query are vectors of its own length. Repeated rows count once. Empty tables give an empty result. Only the two
     named columns are read. Tables for the run are written to folder.
     """
     spark = vectors.sparkSession
@@ -139,29 +155,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, folder: str, wanted: int = 2
     place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     distinct = rows.withColumn("place", place).filter(F.col("place") <= wanted + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     distinct = common.written(distinct, f"{folder}/vectors", compression="none")
-    tables = _fit(distinct, wanted)
-    if tables is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = tables.directions.shape[1] - 1
-    distinct, asked = distinct.filter(F.size("vector") == size), asked.filter(F.size("vector") == size)
-    shared = spark.sparkContext.broadcast(tables)  # TABLES * size * k numbers
+    shared = spark.sparkContext.broadcast(_fit(distinct, wanted))  # TABLES * size * k numbers of each size
 
+    # Tables of all lengths are numbered in one row.
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(0), size)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(shared.value.cells(x).T), pa.list_(pa.int64()))], names=["vector", "ids", "cells"])
+            out: list = [None] * batch.num_rows
+            for size, at, x in _by_length(batch.column(0)):
+                for i, own in zip(at.tolist(), shared.value[size].cells(x).T.tolist(), strict=True):
+                    out[i] = [{"t": size * TABLES + t, "cell": c} for t, c in enumerate(own)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _CELLS)], names=["vector", "ids", "cells"])
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), size)
-            out = shared.value.probes(x, recall) if len(x) else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[p.tolist() for p in tables] for tables in out], pa.list_(pa.list_(pa.int64())))], names=["vec_id", "vector", "cells"])
+            for part in common.slices(batch, None, rows=200):
+                out: list = [[] for _ in range(part.num_rows)]
+                for size, at, x in _by_length(part.column(1)):
+                    if size in shared.value:
+                        for i, own in zip(at.tolist(), shared.value[size].probes(x, recall), strict=True):
+                            out[i] = [{"t": size * TABLES + t, "cell": c} for t, cells in enumerate(own) for c in cells.tolist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, _CELLS)], names=["vec_id", "vector", "cells"])
 
     kind = distinct.schema["vector"].dataType.simpleString()
-    entries = distinct.mapInArrow(cells, f"vector {kind}, ids array<long>, cells array<long>").select("vector", "ids", F.posexplode("cells").alias("t", "cell"))
+    places = "cells array<struct<t:long,cell:long>>"
+    entries = distinct.mapInArrow(cells, f"vector {kind}, ids array<long>, {places}").select("vector", "ids", F.inline("cells"))
     blocks = entries.groupBy("t", "cell").agg(F.ceil(F.count("*") / (4 * CELL)).cast("int").alias("n_blocks"))
     blocks = common.written(blocks, f"{folder}/cells")
-    visits = asked.mapInArrow(probes, f"vec_id long, vector {kind}, cells array<array<long>>").select("vec_id", "vector", F.posexplode("cells").alias("t", "cells")).select("vec_id", "vector", "t", F.explode("cells").alias("cell"))
+    visits = asked.mapInArrow(probes, f"vec_id long, vector {kind}, {places}").select("vec_id", "vector", F.inline("cells"))
     visits = visits.join(blocks, ["t", "cell"]).select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(1).alias("side"), "vector", F.array("vec_id").alias("ids"))
     own_block = F.pmod(F.xxhash64("vector"), F.col("n_blocks")).cast("int")
     held = entries.join(blocks, ["t", "cell"]).select("t", "cell", own_block.alias("block"), F.lit(0).alias("side"), "vector", "ids")
@@ -175,7 +195,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, folder: str, wanted: int = 2
             scores = q @ matrix.T
             # One more than wanted, as one may be the query itself; what the two ways to sum can differ by is allowed for.
             keep = min(wanted + 1, len(own))
-            slack = 4 * size * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * shared.value.longest
+            size = q.shape[1]
+            slack = 4 * size * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * shared.value[size].longest
             least = np.partition(scores, len(own) - keep, axis=1)[:, len(own) - keep] - slack
             best = [np.flatnonzero(s >= x) for s, x in zip(scores, least, strict=True)]
             out = []
@@ -187,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, folder: str, wanted: int = 2
 
         asking: list = []
         for batch in batches:
-            columns = [_matrix(c, size) if k == 4 else c.to_pylist() for k, c in enumerate(batch.columns)]
+            columns = [_vectors(c) if k == 4 else c.to_pylist() for k, c in enumerate(batch.columns)]
             for t, cell, block, side, vector, ids in zip(*columns, strict=True):
                 if (t, cell, block) != key:
                     if asking:
