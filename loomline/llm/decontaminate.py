@@ -10,6 +10,7 @@ which alone are broadcast.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +24,11 @@ from loomline.llm import common, shingles, worker
 
 SPAN, HALF = 32, 16
 #: Latent dimensions, columns of the random test matrix, items in one block, and words in one of its vocabularies.
-RANK, WIDTH, ITEMS, WORDS = 96, 104, 2000, 65_000
+RANK, WIDTH, ITEMS, WORDS = 64, 72, 2000, 65_000
 #: Values of one byte that tell which item has which word; cosines or sums in memory at once; words of a long item.
 HELD, SUMS, LONG_ITEM = 1 << 26, 1 << 22, 4096
+#: Share of an item's terms, the rarest, of which a passage's neighbourhood must have all but what may be missing.
+RARE = 0.6
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.full(256, 32, np.uint8)
@@ -126,7 +129,7 @@ class Passages:
 
     def spread(self, y: np.ndarray, size: int) -> np.ndarray:
         """The transposed matrix of the passages times y."""
-        by_half = np.zeros((self.n_halves + 1, y.shape[1]))
+        by_half = np.zeros((self.n_halves + 1, y.shape[1]), np.float32)
         by_half[self.start] += y
         by_half[self.second] += y
         out = np.zeros((size, y.shape[1]))
@@ -134,7 +137,9 @@ class Passages:
             order = np.argsort(self.ids, kind="stable")
             ids = self.ids[order]
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            out[ids[first]] = np.add.reduceat(by_half[self.half[order]] * self.weight[order, None], first)
+            rows = by_half[self.half[order]]
+            rows *= self.weight[order, None].astype(np.float32)
+            out[ids[first]] = np.add.reduceat(rows, first)
         return out
 
     def shared_terms(self, window: np.ndarray, item: np.ndarray, reach: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -153,13 +158,15 @@ class Passages:
         first = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]])) if len(half) else np.zeros(0, int)
         n = np.diff(np.append(first, len(half)))
         near, column = np.unique(item, return_inverse=True)
+        terms, ids = np.unique(ids, return_inverse=True)
+        held = held.take(terms, axis=0)
         step = max(1, SUMS // (end - begin + 1))
         for at in range(0, len(near), step):
-            columns = near[at : at + step]
-            sums = np.zeros((end - begin + 1, len(columns)), np.uint8)  # a half has at most HALF terms
+            own = held.take(near[at : at + step], axis=1)
+            sums = np.zeros((end - begin + 1, own.shape[1]), np.uint8)  # a half has at most HALF terms
             for t in range(int(n.max(initial=0))):
                 place = first[n > t] + t
-                sums[half[place] + 1] += held[ids[place][:, None], columns]
+                sums[half[place] + 1] += own.take(ids[place], axis=0)
             upto = np.cumsum(sums, axis=0, dtype=np.int32)
             own = np.flatnonzero((column >= at) & (column < at + step))
             out[own] = upto[high[own] - begin, column[own] - at] - upto[low[own] - begin, column[own] - at]
@@ -291,15 +298,17 @@ def _search(tokens: DataFrame, items: Items, weight: np.ndarray, space: np.ndarr
         unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         # A passage can't be near an item of many times its length, so long items are searched by their own passages.
         own = [(k, w[a : a + SPAN] if len(w) > 2 * SPAN else w) for k, w in enumerate(items.words) for a in range(0, len(w), SPAN if len(w) > 2 * SPAN else len(w))]
-        owner = np.array([k for k, _ in own])
+        begins = np.flatnonzero(np.diff([k for k, _ in own], prepend=-1))
         goal = unit(np.stack([(padded[w] * weight[w, None]).sum(axis=0) for _, w in own])).astype(np.float32)
         masks = [Masks(w) for w in items.words]
         held = np.zeros((size + 1, len(items.words)), np.uint8)
         for k, w in enumerate(items.words):
-            held[w, k] = 1
+            terms = np.unique(w)
+            held[terms[np.argsort(-weight[terms], kind="stable")][: math.ceil(RARE * len(terms))], k] = 1
         length = np.array([len(w) for w in items.words])
         reach = -(-length // HALF)
-        # Of an item's words, so many may be missing; each of its terms that isn't there is one of them.
+        # Of an item's words, so many may be missing; each of its terms that isn't there is one of them. Its rarest terms
+        # are asked for first, as common ones stand nearly everywhere.
         missing = (1 - min(similar, paraphrase)) * length
         enough = held.sum(axis=0) - missing
         # The item's last words stand for an answer that isn't given.
@@ -310,12 +319,10 @@ def _search(tokens: DataFrame, items: Items, weight: np.ndarray, space: np.ndarr
             found = []
             for first in range(0, len(place), step := max(1, SUMS // len(goal))):
                 near = place[first : first + step] @ goal.T
-                window, passage = np.nonzero(near >= cosine)
-                # The greatest cosine of each pair of a passage and an item.
-                order = np.lexsort((-near[window, passage], owner[passage], window))
-                window, item, value = window[order] + first, owner[passage][order], near[window, passage][order]
-                once = np.concatenate([[True], (window[1:] != window[:-1]) | (item[1:] != item[:-1])]) if len(window) else np.zeros(0, bool)
-                window, item, value = window[once], item[once], value[once]
+                if len(begins) < len(own):
+                    near = np.maximum.reduceat(near, begins, axis=1)  # the nearest passage of each item
+                window, item = np.nonzero(near >= cosine)
+                value, window = near[window, item], window + first
                 likely = p.shared_terms(window, item, reach, held) >= enough[item]
                 window, item = window[likely], item[likely]
                 found += zip(p.doc[window].tolist(), item.tolist(), p.start[window].tolist(), value[likely].tolist(), strict=True)
@@ -324,16 +331,24 @@ def _search(tokens: DataFrame, items: Items, weight: np.ndarray, space: np.ndarr
                 m = len(items.words[k])
                 # Over at most one and a half times the item's length, so that chance matches far apart don't add up.
                 wide, step = m + m // 2, max(1, m // 4)
-                best, group = None, list(group)
-                starts = {s for _, _, at, _ in group for s in range(max(0, int(at - p.first[doc]) * HALF - m) // step, (int(at - p.first[doc]) * HALF + SPAN) // step + 1)}
-                n, value = answers[k].m, max(x[3] for x in group)
+                best, starts, checked, value = None, set(), {}, 0.0
+                own, needed, all_words = masks[k].places.keys(), len(masks[k].places) - missing[k], docs[doc]
+                for _, _, at, cosine_here in group:
+                    value = max(value, cosine_here)
+                    at = int(at - p.first[doc]) * HALF
+                    low = max(0, at - m) // step
+                    if low not in checked:  # windows near each other ask for the same words
+                        checked[low] = len(own & set(all_words[low * step : low * step + step + SPAN + 2 * m].tolist())) >= needed
+                    if checked[low]:
+                        starts.update(range(low, (at + SPAN) // step + 1))
+                n = answers[k].m
                 for begin in sorted(s * step for s in starts):
-                    region = docs[doc][begin : begin + wide + n].tolist()
-                    if len(masks[k].places.keys() & set(region[:wide])) < len(masks[k].places) - missing[k]:
+                    region = all_words[begin : begin + wide + n].tolist()
+                    if len(own & set(region[:wide])) < needed:
                         continue
                     length = masks[k].subsequence(region[:wide])
                     if best is None or length > best[0]:
-                        best = (length, begin, min(begin + wide, len(docs[doc])), value, answers[k].subsequence(region) >= 0.8 * n)
+                        best = (length, begin, min(begin + wide, len(all_words)), value, answers[k].subsequence(region) >= 0.8 * n)
                 if best and (best[0] >= similar * m or best[0] >= paraphrase * m and best[4]):
                     rows.append((ids[doc], items.ids[k], best[1], best[2], float(best[3]), best[0], m, bool(best[4])))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
