@@ -30,16 +30,25 @@ def queue_score(priority: Column, at_ms: Column) -> Column:
     return priority.cast("double") * 1e12 + at_ms.cast("double")
 
 
-def granted(grants: DataFrame, requests: DataFrame) -> DataFrame:
+#: What a check accepts: segments of the request, None for a whole segment of "*".
+KEYS = {
+    "exact": [("resource", "feature", "action"), ("resource", "feature", None), ("resource", None, "action"), ("resource", None, None), (None, None, "action"), (None, None, None)],
+    "resource": [("resource", None, None), (None, None, None)],
+    "feature": [("resource", "feature", None), ("resource", None, None), (None, None, None)],
+    "any_action": [(None, None, "action"), (None, None, None)],
+}
+
+
+def granted(grants: DataFrame, requests: DataFrame, check: str = "exact") -> DataFrame:
     """allowed for each request (project, ns, resource, feature, action): a grant of the same project and namespace is
-    exact or has whole segments of "*" in one of the accepted places."""
+    exact or has whole segments of "*" in one of the places that the check accepts. The coarser checks ask for a whole
+    resource, a whole feature, or an action on everything."""
     parts = F.split(F.lower(F.trim("trn")), ":")
     names = ["project", "ns", "resource", "feature", "action"]
     rows = grants.select(parts.alias("p")).filter((F.size("p") == 6) & (F.col("p")[0] == "trn")).select(*(F.col("p")[k + 1].alias(n) for k, n in enumerate(names))).distinct()
     # Each accepted pattern is one key of the request, so the lookup is an equi-join.
-    keys = [("resource", "feature", "action"), ("resource", "feature", None), ("resource", None, "action"), ("resource", None, None), (None, None, "action"), (None, None, None)]
     key = lambda *c: F.concat_ws(":", F.lower("project"), F.lower("ns"), *c)
-    wanted = requests.withColumn("key", F.explode(F.array(*(key(*(F.lower(c) if c else F.lit("*") for c in k)) for k in keys))))
+    wanted = requests.withColumn("key", F.explode(F.array(*(key(*(F.lower(c) if c else F.lit("*") for c in k)) for k in KEYS[check]))))
     held = rows.select(key("resource", "feature", "action").alias("key")).distinct()
     hit = wanted.join(held, "key", "left_semi").select("request_id").distinct().withColumn("hit", F.lit(True))
     return requests.join(hit, "request_id", "left").withColumn("allowed", F.coalesce("hit", F.lit(False))).drop("hit")

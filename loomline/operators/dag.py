@@ -114,3 +114,21 @@ def fingerprints(steps: DataFrame) -> DataFrame:
     part = F.concat_ws("|", "step_name", "status", "retry_count", "recovery_count")
     rows = F.array_sort(F.collect_list(F.struct("step_name", part.alias("part"))))
     return steps.groupBy("execution_id").agg(F.upper(F.sha2(F.array_join(F.transform(rows, lambda x: x["part"]), ","), 256)).alias("fingerprint"))
+
+
+def stale(rows: DataFrame, completed: DataFrame) -> DataFrame:
+    """Rows of status None without result and completion time whose name is in the execution's completed set."""
+    open_rows = rows.filter("status = 'None' and result is null and completed_at is null and trim(step_name) <> ''")
+    return open_rows.join(completed.select("execution_id", "step_name"), ["execution_id", "step_name"], "left_semi")
+
+
+def recovered(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, before and after of the steps whose recovery count has risen."""
+    a, b = before.select(*keys, F.col("recovery_count").alias("before")), after.select(*keys, F.col("recovery_count").alias("after"))
+    return a.join(b, keys).filter("after > before")
+
+
+def states_by_name(defined: DataFrame, states: DataFrame) -> DataFrame:
+    """execution_id, step_name and status of every step that is defined; None where it has no state."""
+    found = states.select("execution_id", "step_name", "status")
+    return defined.join(found, ["execution_id", "step_name"], "left").select("execution_id", "step_name", F.coalesce("status", F.lit("None")).alias("status"))

@@ -55,10 +55,6 @@ def histogram(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:
     return buckets.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def first_filled(*columns: str) -> Column:
-    return F.coalesce(*(F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns))
-
-
 def http_class(status: Column) -> Column:
     return F.when(status == 401, "unauthorized").when(status == 403, "forbidden").when(status == 429, "rejected").otherwise("other")
 

@@ -107,10 +107,27 @@ _GRANTS = """g(trn) AS (VALUES ('trn:p1:building:orders:list:read'), ('trn:p1:ma
   r AS (SELECT c_custkey AS request_id, 'p' || (c_custkey % 4) AS project, lower(c_mktsegment) AS ns, 'orders' AS resource, 'list' AS feature, CASE WHEN c_nationkey % 2 = 0 THEN 'read' ELSE 'write' END AS action FROM customer)
   SELECT request_id, EXISTS (SELECT 1 FROM k WHERE p[2] = project AND p[3] = ns AND (p[4] = resource AND p[5] = feature AND p[6] IN (action, '*') OR p[4] = resource AND p[5] = '*' AND p[6] IN (action, '*') OR p[4] = '*' AND p[5] = '*' AND p[6] IN (action, '*'))) AS allowed FROM r""")
 def permissions(spark, sf_dir):
+    return control.granted(*_permission_tables(spark, sf_dir)).select("request_id", "allowed")
+
+
+def _permission_tables(spark, sf_dir):
     grants = spark.createDataFrame([(t,) for t in ("trn:p1:building:orders:list:read", "trn:p1:machinery:orders:list:*", "trn:p2:building:orders:*:*", "TRN:p2:household:*:*:read", "trn:p3:furniture:*:*:*", "trn:p1:automobile:ord*:list:read", "bad:p1:building:orders:list:write", "trn:p4:x")], "trn string")
     c = tables.table(spark, sf_dir, "customer")
     requests = c.select(F.col("c_custkey").alias("request_id"), F.concat(F.lit("p"), F.col("c_custkey") % 4).alias("project"), F.col("c_mktsegment").alias("ns"), F.lit("orders").alias("resource"), F.lit("list").alias("feature"), F.when(F.col("c_nationkey") % 2 == 0, "read").otherwise("write").alias("action"))
-    return control.granted(grants, requests).select("request_id", "allowed")
+    return grants, requests
+
+
+_COARSE = {"resource": "p[5] = '*' AND p[6] = '*' AND p[4] IN (resource, '*')", "feature": "p[6] = '*' AND (p[4] = resource AND p[5] IN (feature, '*') OR p[4] = '*' AND p[5] = '*')", "any_action": "p[4] = '*' AND p[5] = '*' AND p[6] IN (action, '*')"}
+
+
+@query("control_coarse_permissions", f"""WITH {_GRANTS}, k AS (SELECT DISTINCT string_split(lower(trim(trn)), ':') AS p FROM g WHERE len(string_split(trn, ':')) = 6 AND lower(trim(trn)) LIKE 'trn:%'),
+  r AS (SELECT c_custkey AS request_id, 'p' || (c_custkey % 4) AS project, lower(c_mktsegment) AS ns, 'orders' AS resource, 'list' AS feature, CASE WHEN c_nationkey % 2 = 0 THEN 'read' ELSE 'write' END AS action FROM customer)
+  """ + " UNION ALL ".join(f"SELECT request_id, '{c}' AS check_level, EXISTS (SELECT 1 FROM k WHERE p[2] = project AND p[3] = ns AND ({on})) AS allowed FROM r" for c, on in _COARSE.items()))
+def coarse_permissions(spark, sf_dir):
+    """resource level, feature level, and an action on everything."""
+    grants, requests = _permission_tables(spark, sf_dir)
+    each = [control.granted(grants, requests, check).select("request_id", F.lit(check).alias("check_level"), "allowed") for check in _COARSE]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("control_assistance", f"""WITH {_INSTANCES} SELECT instance_id, CASE WHEN status NOT IN ('Ready', 'Busy') THEN 'not_idle' WHEN queued > 220 THEN 'queue_depth' WHEN 640 - running - queued <= 0 THEN 'no_slots' ELSE 'granted' END AS decision,

@@ -181,12 +181,17 @@ def reconstruct(spark, sf_dir):
     return dag.reconstruct(blob, steps.filter("step_no % 5 <> 0"), ["execution_id", "step_no"])
 
 
-@query("dag_stale_rows", f"WITH {STEPS} SELECT execution_id, step_no FROM steps s WHERE status = 'None' AND completed_at IS NULL AND EXISTS (SELECT 1 FROM steps c WHERE c.execution_id = s.execution_id AND c.status = 'Completed' AND c.step_no % 3 = s.step_no % 3)")
+_TOLD = "told AS (SELECT l_orderkey AS execution_id, 'step-' || l_linenumber AS step_name FROM lineitem WHERE l_quantity >= 20)"
+
+
+@query("dag_stale_rows", f"""WITH {STEPS}, {_TOLD}, r AS (SELECT *, CASE WHEN status <> 'None' OR step_no % 4 = 0 THEN inline_bytes END AS result FROM steps)
+  SELECT execution_id, step_no FROM r WHERE status = 'None' AND result IS NULL AND completed_at IS NULL AND (execution_id, step_name) IN (SELECT execution_id, step_name FROM told)""")
 def stale_rows(spark, sf_dir):
-    """rows without state whose name (here: number by three) the execution has as completed."""
-    steps = tables.steps(spark, sf_dir).withColumn("name", F.col("step_no") % 3)
-    done = steps.filter("status = 'Completed'").select("execution_id", "name").distinct()
-    return steps.filter("status = 'None' and completed_at is null").join(done, ["execution_id", "name"], "left_semi").select("execution_id", "step_no")
+    """rows without state, result and time whose name the execution's completed set has."""
+    steps = tables.steps(spark, sf_dir)
+    rows = steps.withColumn("result", F.when((F.col("status") != "None") | (F.col("step_no") % 4 == 0), F.col("inline_bytes")))
+    told = tables.table(spark, sf_dir, "lineitem").filter("l_quantity >= 20").select(F.col("l_orderkey").alias("execution_id"), F.concat(F.lit("step-"), "l_linenumber").alias("step_name"))
+    return dag.stale(rows, told).select("execution_id", "step_no")
 
 
 @query("dag_completed_union", f"""WITH {STEPS} SELECT execution_id, step_name FROM steps WHERE status = 'Completed' UNION SELECT l_orderkey, 'step-' || l_linenumber FROM lineitem WHERE l_linestatus = 'F'""")
@@ -230,7 +235,21 @@ def replay_totals(spark, sf_dir):
     return tables.steps(spark, sf_dir).groupBy("execution_id").agg(F.sum(r).alias("retries"), F.sum("recovery_count").alias("recoveries"), F.count("*").alias("steps"), F.count_if(r > 0).alias("retried"), F.min(r).alias("least"), F.max(r).alias("most"), F.bool_and(r > 0).alias("all_retried"))
 
 
-@query("dag_recovery_change", f"WITH {STEPS} SELECT execution_id, step_no, recovery_count - coalesce(lag(recovery_count) OVER (PARTITION BY execution_id ORDER BY step_no), 0) AS change FROM steps")
+@query("dag_recovery_change", f"""WITH {STEPS}, a AS (SELECT execution_id, step_no, recovery_count + CASE WHEN status = 'Running' AND lease_expires_at <= {_NOW} THEN 1 ELSE 0 END AS after FROM steps)
+  SELECT execution_id, step_no, recovery_count AS before, after::INT AS after FROM steps JOIN a USING (execution_id, step_no) WHERE after > recovery_count""")
 def recovery_change(spark, sf_dir):
-    w = Window.partitionBy("execution_id").orderBy("step_no")
-    return tables.steps(spark, sf_dir).select("execution_id", "step_no", (F.col("recovery_count") - F.coalesce(F.lag("recovery_count").over(w), F.lit(0))).alias("change"))
+    """Steps whose recovery count is higher after leases were recovered than before."""
+    before = tables.steps(spark, sf_dir)
+    more = F.when(dag.lease_expired(_now()), 1).otherwise(0)
+    after = before.select("execution_id", "step_no", (F.col("recovery_count") + more).alias("recovery_count"))
+    return dag.recovered(before, after, ["execution_id", "step_no"])
+
+
+@query("dag_states_by_name", f"""WITH {STEPS}, e AS (SELECT DISTINCT execution_id FROM steps), d AS (SELECT execution_id, 'step-' || unnest([1, 2, 3, 4, 5, 6, 7]) AS step_name FROM e)
+  SELECT execution_id, step_name, coalesce(status, 'None') AS status FROM d LEFT JOIN steps USING (execution_id, step_name)""")
+def states_by_name(spark, sf_dir):
+    """Each step of a definition with its state; one without state counts as None."""
+    steps = tables.steps(spark, sf_dir)
+    names = F.array(*(F.lit(f"step-{k}") for k in range(1, 8)))
+    defined = steps.select("execution_id").distinct().select("execution_id", F.explode(names).alias("step_name"))
+    return dag.states_by_name(defined, steps)

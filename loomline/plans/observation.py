@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomline.functions import expr
 from loomline.operators import observe
 from loomline.registry import query
 from loomline.sources import tables
@@ -111,7 +112,7 @@ def trace_lookup(spark, sf_dir):
 @query("obs_trace_key", f"WITH {LEDGER} SELECT entry_id, coalesce(nullif(trim(CASE WHEN k % 3 = 0 THEN ' ' WHEN k % 3 = 1 THEN 'run' END), ''), nullif(trim(event_type), '')) AS trace_key FROM ledger")
 def trace_key(spark, sf_dir):
     rows = tables.ledger(spark, sf_dir).withColumn("run", F.when(F.col("k") % 3 == 0, " ").when(F.col("k") % 3 == 1, "run"))
-    return rows.select("entry_id", observe.first_filled("run", "event_type").alias("trace_key"))
+    return rows.select("entry_id", expr.first_filled("run", "event_type").alias("trace_key"))
 
 
 _ALIAS = {"view": "dag-store", "click": "dag-store", "error": "engine"}

@@ -25,13 +25,14 @@ def classifiers(spark, sf_dir):
     return tables.table(spark, sf_dir, "events").select("event_id", policy.rate_limited(reason, error).alias("rate_limited"), policy.timed_out(reason).alias("timed_out"))
 
 
-_OUTCOMES = f"""{LEDGER}, o AS (SELECT execution_id, entry_id AS idx, k = 99 AS blocked, k % 3 = 0 AS retryable, CASE WHEN k % 2 = 0 THEN k * 10 END AS suggested_ms, CASE WHEN k % 5 <> 0 THEN event_type ELSE ' ' END AS reason FROM ledger WHERE entry_id % 40 = execution_id % 40 OR k = 99 AND execution_id % 3 = 0)"""
+_OUTCOMES = f"""{LEDGER}, o AS (SELECT execution_id, entry_id AS idx, k = 99 AND execution_id % 3 = 0 AS blocked, k % 3 = 0 AS retryable, CASE WHEN k % 2 = 0 THEN k * 10 END AS suggested_ms, CASE WHEN k % 5 <> 0 THEN event_type ELSE ' ' END AS reason FROM ledger)"""
 
 
 def _outcomes(spark, sf_dir):
     k = F.col("k")
-    rows = tables.ledger(spark, sf_dir).filter("entry_id % 40 = execution_id % 40 or k = 99 and execution_id % 3 = 0")
-    return rows.select("execution_id", F.col("entry_id").alias("idx"), (k == 99).alias("blocked"), (k % 3 == 0).alias("retryable"), F.when(k % 2 == 0, k * 10).alias("suggested_ms"), F.when(k % 5 != 0, F.col("event_type")).otherwise(" ").alias("reason"), (F.col("execution_id") % 4).alias("retries"), F.lit(3).alias("budget"))
+    """Every entry of the ledger as one policy's outcome: blocks in every third execution, waits and reasons as they come."""
+    rows = tables.ledger(spark, sf_dir)
+    return rows.select("execution_id", F.col("entry_id").alias("idx"), ((k == 99) & (F.col("execution_id") % 3 == 0)).alias("blocked"), (k % 3 == 0).alias("retryable"), F.when(k % 2 == 0, k * 10).alias("suggested_ms"), F.when(k % 5 != 0, F.col("event_type")).otherwise(" ").alias("reason"), (F.col("execution_id") % 4).alias("retries"), F.lit(3).alias("budget"))
 
 
 @query("policy_retry_fold", f"""WITH {_OUTCOMES}, f AS (SELECT execution_id, bool_or(blocked) OR execution_id % 4 >= 3 OR NOT bool_or(retryable) AS fail, max(suggested_ms) AS s, arg_min(reason, idx) FILTER (trim(reason) <> '') AS reason FROM o GROUP BY execution_id)
@@ -40,9 +41,9 @@ def retry_fold(spark, sf_dir):
     return policy.fold_retry(_outcomes(spark, sf_dir), ["execution_id"], 500)
 
 
-@query("policy_concurrency_fold", f"""WITH {_OUTCOMES} SELECT execution_id, NOT bool_or(blocked) AND bool_and(idx % 7 <> 0) AS allowed, CASE WHEN bool_or(blocked) OR NOT bool_and(idx % 7 <> 0) THEN coalesce(max(suggested_ms), 250) END AS retry_after_ms FROM o GROUP BY 1""")
+@query("policy_concurrency_fold", f"""WITH {_OUTCOMES} SELECT execution_id, NOT bool_or(blocked) AND bool_and(idx % 211 <> 0) AS allowed, CASE WHEN bool_or(blocked) OR NOT bool_and(idx % 211 <> 0) THEN coalesce(max(suggested_ms), 250) END AS retry_after_ms FROM o GROUP BY 1""")
 def concurrency_fold(spark, sf_dir):
-    rows = _outcomes(spark, sf_dir).withColumn("allowed", F.col("idx") % 7 != 0).withColumn("retry_after_ms", F.col("suggested_ms"))
+    rows = _outcomes(spark, sf_dir).withColumn("allowed", F.col("idx") % 211 != 0).withColumn("retry_after_ms", F.col("suggested_ms"))
     return policy.fold_concurrency(rows, ["execution_id"], 250)
 
 
