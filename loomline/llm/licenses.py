@@ -1,8 +1,9 @@
 """Operator 5: licences in files, by a positional index of rare words. DataFrame functions only.
 
 Method: each template's anchor is the word of its mandatory phrase with the highest inverse document frequency. Wherever
-an anchor stands in a file it is looked up in the templates' postings, which say where the template would begin; that
-counts if the mandatory phrase stands there. Base labels come from three phrases, wherever they stand.
+an anchor stands in a file it is looked up in the templates' postings, which say where the template would begin; the
+postings of the phrase's next rarest words (MARKS in all) must agree on that place, and then the mandatory phrase must
+stand there. Base labels come from three phrases, wherever they stand.
 
 Files that have no key word can neither hold a mandatory nor a base phrase, so only the others (written once, with
 their words) are looked up. What is broadcast is the table of postings, whose size is that of the templates below.
@@ -43,6 +44,8 @@ TEMPLATES = (
     ("cc0-1.0", "cc0 1 0 universal", "licensed under cc0 1 0 universal public domain dedication"),
     ("unlicense", "free and unencumbered software released into the public domain", "this is free and unencumbered software released into the public domain"),
 )
+#: Rarest words of a phrase that must agree on where a template begins.
+MARKS = 3
 _VOCABULARY = sorted({w for _, _, t in TEMPLATES for w in t.split()})
 #: Words to both sides of an anchor that a template can reach.
 _REACH = max(len(t.split()) for _, _, t in TEMPLATES)
@@ -105,12 +108,14 @@ def scan_licenses(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
     for k, (label, phrase, text) in enumerate(TEMPLATES):
         body, key = text.split(), phrase.split()
         at = next(p for p in range(len(body)) if body[p : p + len(key)] == key)
-        rows.append((anchors[k], k, label, key, at, at + key.index(anchors[k]), body, [idf[w] for w in body]))
-    templates = spark.createDataFrame(rows, "word string, template int, label string, key array<string>, at int, place int, body array<string>, weights array<double>")
+        marks = sorted(set(key), key=lambda w: (idf[w], w), reverse=True)[:MARKS]
+        rows.append((anchors[k], k, label, key, at, at + key.index(anchors[k]), body, [idf[w] for w in body], [(w, at + key.index(w)) for w in marks]))
+    templates = spark.createDataFrame(rows, "word string, template int, label string, key array<string>, at int, place int, body array<string>, weights array<double>, marks array<struct<word:string,place:int>>")
     # Where the template would begin before the file does, its phrase may still stand in the file.
     first = F.col("offset") + F.col("at")
     placed = hits.join(F.broadcast(templates), "word").withColumn("offset", F.col("i") - F.col("place") - F.col("low"))
-    stands = (first >= 0) & (F.slice("near", F.greatest(first, F.lit(0)) + 1, F.size("key")) == F.col("key"))
+    agree = F.forall("marks", lambda m: F.coalesce(F.get("near", F.col("offset") + m["place"]) == m["word"], F.lit(False)))
+    stands = agree & (first >= 0) & (F.slice("near", F.greatest(first, F.lit(0)) + 1, F.size("key")) == F.col("key"))
     share = F.aggregate(
         F.zip_with("weights", F.transform("body", lambda w, p: F.get("near", F.col("offset") + p) == w), lambda v, ok: F.when(ok, v).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b
     ) / F.aggregate("weights", F.lit(0.0), lambda a, b: a + b)

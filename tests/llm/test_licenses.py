@@ -46,3 +46,34 @@ def test_every_license_of_a_bundle_is_found(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs, common.work_dir(spark)).collect()}
     assert {"mit-text", "apache-2.0", "gpl-3.0", "cc-by-4.0", "mit-notice"} <= set(got[0].labels.split(","))
     assert set(whole) <= set(got[1].labels.split(",")) and got[0].score == got[1].score == 1 and got[2].labels == ""
+
+
+def test_labels_and_scores_by_brute_force(spark, small):
+    """Every phrase looked for at every place of every text, with frequencies and shares computed apart."""
+    import math
+
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+    whole = " ".join(text for _, _, text in licenses.TEMPLATES)
+    more = TEXTS + [whole, "free software foundation " + whole[200:], " ".join(p for _, p, _ in licenses.TEMPLATES), "redistribution and use in source or binary forms"]
+    docs = common.table(spark, small, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(more)], "doc_id long, text string"))
+    texts = {r.doc_id: words(r.text) for r in docs.collect()}
+    vocabulary = {w for _, _, t in licenses.TEMPLATES for w in t.split()}
+    idf = {w: math.log((len(texts) + 1) / (sum(w in t for t in map(set, texts.values())) + 0.5)) for w in vocabulary}
+    seen = set()
+    for r in licenses.scan_licenses(docs, common.work_dir(spark)).collect():
+        w, labels, score = texts[r.doc_id], set(), 0.0
+        for phrase, label in licenses.BASE.items():
+            if any(tuple(w[k : k + len(phrase)]) == phrase for k in range(len(w))):
+                labels.add(label)
+                score = max(score, 0.5)
+        for label, phrase, text in licenses.TEMPLATES:
+            key, body = phrase.split(), text.split()
+            at = next(p for p in range(len(body)) if body[p : p + len(key)] == key)
+            for k in range(len(w) - len(key) + 1):
+                if w[k : k + len(key)] == key:
+                    labels.add(label)
+                    stands = sum(idf[x] for p, x in enumerate(body) if 0 <= k - at + p < len(w) and w[k - at + p] == x)
+                    score = max(score, stands / sum(idf[x] for x in body))
+        seen |= labels
+        assert r.labels == ",".join(sorted(labels)) and math.isclose(r.score, min(1.0, score), abs_tol=1e-9)
+    assert {label for label, _, _ in licenses.TEMPLATES} <= seen
