@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
 
     from pyspark.sql import SparkSession
 
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
     session = (
         SparkSession.builder.master("local[8]")
