@@ -210,7 +210,7 @@ PARSED = "page long, features array<long>, texts array<string>, kept array<boole
 
 def _parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, host; page: a hash of all texts and styles; of each block its feature (leaf and text), its text and
-    whether the fallback keeps it; tree: each node with its features and once with none."""
+    whether the fallback keeps it; tree: each node with its features, and once with none and its chain."""
     kind = pages.schema["page_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                     held = set(zip(page.leaves, features, strict=True)) | {(node, style) for node, styles in page.styles.items() for style in styles}
                     leaves = set(page.leaves)
                     both = [*sorted(held), *((n, None) for n in sorted({n for n, _ in held}))]
-                    tree = [{"node": n, "feature": f, "chain": page.chains[n], "leaf": n in leaves} for n, f in both]
+                    tree = [{"node": n, "feature": f, "chain": page.chains[n] if f is None else None, "leaf": n in leaves} for n, f in both]
                     out.append((_number(*features, *(f for _, f in sorted(held))), features, page.texts, page.kept, tree))
                 types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(_FEATURE)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=["page_id", "url", "host", "page", "features", "texts", "kept", "tree"])
@@ -284,18 +284,21 @@ def extract_main_text(pages: DataFrame, folder: str, id_col: str = "page_id", ur
     null ids stay; an empty table gives an empty result; other columns aren't read.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
-    parsed = common.written(_parsed(pages), f"{folder}/parsed")
-    rows = parsed.select("host", "page", F.explode("tree").alias("x"))
-    # Copies of a page count once.
-    rows = rows.groupBy("host", "page", "x.node", "x.feature").agg(F.first("x.chain").alias("chain"), F.first("x.leaf").alias("leaf"))
-    rows = common.written(rows, f"{folder}/rows")
-    counts = common.written(rows.groupBy("host", "node", "feature").agg(F.count("*").alias("n"), F.first("chain").alias("chain"), F.first("leaf").alias("leaf")), f"{folder}/counts")
+    parsed = common.written(_parsed(pages), f"{folder}/parsed", compression="zstd")
+    tree = parsed.select("host", "page", F.explode("tree").alias("x")).select("host", "page", "x.*")
+    rows = tree.select("host", "page", "node", "feature").distinct()  # copies of a page count once
+    rows = common.written(rows, f"{folder}/rows", compression="zstd")
+    chains = tree.filter("feature is null").groupBy("host", "node").agg(F.first("chain").alias("chain"), F.first("leaf").alias("leaf"))
+    counts = rows.groupBy("host", "node", "feature").agg(F.count("*").alias("n")).join(chains, ["host", "node"])
+    counts = common.written(counts, f"{folder}/counts", compression="zstd")
     poor = common.written(style_tree(counts), f"{folder}/style-tree").filter("poor").select("host", "node")
     # Written, so that both sides of the joins are dealt out anew and Spark can split what very many pages have.
     repeated = common.written(counts.filter("n > 1 and feature is not null").join(poor, ["host", "node"], "left_semi").select("host", "node", "feature"), f"{folder}/repeated")
     # Page by page and not host by host, as a large host may have many contents that repeat.
     drop = rows.join(repeated, ["host", "node", "feature"], "left_semi").groupBy("host", "page").agg(F.collect_set("feature").alias("drop"))
     drop = common.written(drop, f"{folder}/drop")
+    for used in ("rows", "counts", "repeated"):
+        common.remove(pages.sparkSession, f"{folder}/{used}")
     joined = parsed.select("page_id", "url", "host", "page", "features", "texts", "kept").join(drop, ["host", "page"], "left").withColumn("drop", F.coalesce("drop", F.array()))
     joined = joined.withColumn("blocks", F.arrays_zip("features", "texts", "kept"))
     stays = lambda x: ~F.array_contains("drop", x["features"])
