@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators import ordered
+
 
 def ledger_filter(ledger: DataFrame, equal: dict | None = None, between: dict | None = None) -> DataFrame:
     """Rows that equal every given value (blank or null: no filter) and lie in every given range, ends included."""
@@ -42,8 +44,16 @@ def counters(rows: DataFrame, dimensions: list[str], names: dict[str, Column]) -
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles: values that occur."""
-    return rows.groupBy(*keys).agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(n) for n, p in shares.items()))
+    """Nearest-rank percentiles: values that occur. Nulls don't count; keys with nothing else have null.
+
+    Values are counted before they are dealt out, and no key's values must fit into one task.
+    """
+    totals = rows.groupBy(*keys).agg(F.count(value).alias("__n"))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__same"))
+    upto = ordered.running(counts, keys, [F.col(value)], "__upto", "__same")
+    same = reduce(lambda a, b: a & b, (upto[k].eqNullSafe(totals[k]) for k in keys))
+    at = {n: F.greatest(F.lit(1), F.ceil(F.col("__n") * F.lit(p))) for n, p in shares.items()}
+    return totals.join(upto, same, "left").groupBy(*(totals[k] for k in keys)).agg(*(F.min(F.when(F.col("__upto") >= at[n], upto[value])).alias(n) for n in shares))
 
 
 def histogram(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators import ordered
+
 #: Orders by name; modes that behave alike share one.
 UNION_ORDER, SCORE_ORDER = "union", "score"
 ORDERS = {"Concat": UNION_ORDER, "StableUnion": UNION_ORDER, "None": UNION_ORDER, "BestScoreWins": SCORE_ORDER, "ScoreDescending": SCORE_ORDER, "DeterministicScoreThenId": SCORE_ORDER}
@@ -32,8 +34,8 @@ def first_provider(items: DataFrame) -> DataFrame:
 
 
 def renumber(items: DataFrame, batch: list[str], keys: list[Column], name: str = "stable_order") -> DataFrame:
-    """Dense numbers from 0 within each batch."""
-    return items.withColumn(name, F.row_number().over(Window.partitionBy(*batch).orderBy(*keys)) - 1)
+    """Dense numbers from 0 within each batch, however large; what name held before is replaced."""
+    return ordered.running(items.drop(name), batch, keys, name).withColumn(name, (F.col(name) - 1).cast("int"))
 
 
 def missing_sources(wanted: DataFrame, batches: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomline.operators import dag
 from loomline.registry import query
-from loomline.sources import tables
+from loomline.sources import shared, tables
 from loomline.sources.tables import AS_OF, STEPS
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -109,8 +107,7 @@ def validation(spark, sf_dir):
 def cycles(spark, sf_dir):
     """Executions whose made-up links between five nodes have cycles: the nodes on one or behind one."""
     rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("execution_id"), (F.col("l_partkey") % 5).cast("int").alias("parent"), (F.col("l_suppkey") % 5).cast("int").alias("child")).filter("parent <> child")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomline-")
-    return dag.cyclic(rows, "execution_id", f"{folder}/cycles-{spark._jvm.java.util.UUID.randomUUID()}")
+    return dag.cyclic(rows, "execution_id", shared.folder(spark, "cycles"))
 
 
 @query("dag_replay_dependencies", f"""WITH {STEPS} SELECT e.execution_id, e.child_no, e.parent_no, CASE WHEN p.status IS NULL THEN 'missing' ELSE 'parent_not_completed' END AS issue

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from loomline.registry import query
+from loomline.sources import shared
 from loomline.streaming import ledger
 
 
-def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomline-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 # Numbers follow arrival, so which entry gets which isn't fixed; that they are dense is tested.
 @query("stream_ledger_sequence")
 def ledger_sequence(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared.folder(spark, "stream")
     return ledger.to_files(ledger.numbered(ledger.event_stream(spark, sf_dir)), f"{folder}/rows", f"{folder}/state")
 
 
@@ -26,5 +19,5 @@ def ledger_sequence(spark, sf_dir):
   SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, last
   WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY ALL""")
 def windowed_counts(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared.folder(spark, "stream")
     return ledger.to_files(ledger.windowed_counts(ledger.event_stream(spark, sf_dir)), f"{folder}/rows", f"{folder}/state")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import expr
-from loomline.operators import control, dag, memory, observe, policy, rag
+from loomline.operators import control, dag, memory, observe, ordered, policy, rag
 from loomline.sources import tables
 
 ITEM = "provider string, source_type int, id string, provider_kind string, content_type string, content string, score double"
@@ -128,3 +128,22 @@ def test_templates_replace_one_after_another(spark):
     assert df.first().t == "x-{{c}}"
     with pytest.raises(ValueError):
         expr.decision(F.lit(1), 10, 20)
+
+
+def test_running_totals_equal_a_window_over_the_whole_batch(spark):
+    rows = [("a" if k % 3 else None, (k * 7919) % 1000, k % 5) for k in range(5000)] + [(f"b{k}", k, 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "g string, at int, w int").repartition(7)
+    got = ordered.running(df, ["g"], [F.col("at"), F.col("w")], "n")
+    assert sorted(r.n for r in got.filter("g is null").collect()) == list(range(1, 1668))
+    assert {r.n for r in got.filter("g like 'b%'").collect()} == {1}
+    placed = [(r.at, r.w) for r in got.filter("g = 'a'").orderBy("n").collect()]
+    assert placed == sorted((at, w) for g, at, w in rows if g == "a")
+    summed = ordered.running(df.groupBy("g", "at").agg(F.sum("w").alias("w")), ["g"], [F.desc("at")], "total", "w").filter("g = 'a'").collect()
+    assert all(r.total == sum(w for g, at, w in rows if g == "a" and at >= r.at) for r in summed[::50])
+    assert ordered.running(df.limit(0), ["g"], [F.col("at")], "n").count() == 0
+
+
+def test_percentiles_of_nulls_ties_and_null_keys(spark):
+    df = spark.createDataFrame([("a", None), ("a", 2.0), ("a", 2.0), ("a", 1.0), (None, 5.0), ("z", None)], "g string, v double")
+    got = {r.g: (r.p50, r.p0) for r in observe.percentiles(df, ["g"], "v", {"p50": 0.5, "p0": 0.0}).collect()}
+    assert got == {"a": (2.0, 1.0), None: (5.0, 5.0), "z": (None, None)}
