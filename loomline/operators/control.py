@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators import folds
+
 ENDED = ("Cancelled", "Completed", "Failed")
 
 
@@ -66,3 +68,80 @@ def may_cleanup(status: Column, completed: bool = True, failed: bool = False) ->
 
 def control_gate(status: Column) -> Column:
     return F.when(status.isin("Cancelled", "Cancelling"), "Cancel").when(status.isin("Paused", "Pausing", "WaitingForInput"), "StopClaiming").otherwise("Continue")
+
+
+_OPEN = ("Running", "Pausing", "Paused", "Resuming", "WaitingForInput")
+CONTROL_STATES = (*_OPEN, "Cancelling", "Cancelled")
+#: What a move makes of a state; where none is named, the state stays. Cancelling and Cancelled absorb all but cancelling.
+CONTROL_MOVES = {
+    "pause": {s: "Pausing" for s in _OPEN if s != "Paused"},
+    "mark_paused": {"Pausing": "Paused"},
+    "resume": dict.fromkeys(_OPEN, "Resuming"),
+    "wait": dict.fromkeys(_OPEN, "WaitingForInput"),
+    "input": dict.fromkeys(_OPEN, "Resuming"),
+    "wrong_input": {},
+    "mark_running": {"Resuming": "Running"},
+    "cancel": dict.fromkeys((*_OPEN, "Cancelling"), "Cancelling"),
+    "mark_cancelled": dict.fromkeys(CONTROL_STATES, "Cancelled"),
+}
+
+
+def control_states(events: DataFrame, key: str) -> DataFrame:
+    """key, status, changes and errors from (key, at, event_id, action, input_key): input counts where its key is that of
+    the last wait, else it is an error. Only a cancelled execution ignores a wait, and it ignores input as well, so the
+    last wait's key is that of the log."""
+    before = Window.partitionBy(key).orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    waited = F.last(F.when(F.col("action") == "wait", F.col("input_key")), ignorenulls=True).over(before)
+    fits = F.coalesce(waited == F.col("input_key"), F.lit(False))
+    moves = events.withColumn("move", F.when((F.col("action") == "input") & ~fits, "wrong_input").otherwise(F.col("action")))
+    return folds.final_states(moves, key, CONTROL_STATES, CONTROL_MOVES, {"wrong_input": _OPEN})
+
+
+RUN_STATES = ("missing", "Pending", "Dispatched", *ENDED)
+_LIVE = ("Pending", "Dispatched")
+RUN_MOVES = {
+    "create": {"missing": "Pending"},
+    "dispatch": dict.fromkeys(_LIVE, "Dispatched"),
+    "cancel": dict.fromkeys(_LIVE, "Cancelled"),
+    "complete": dict.fromkeys(_LIVE, "Completed"),
+    "fail": dict.fromkeys(_LIVE, "Failed"),
+}
+
+
+def run_states(events: DataFrame, key: str) -> DataFrame:
+    """key, status, changes and errors of runs: the first creation holds, and what has ended stays; other moves of a run
+    that is missing or has ended, and further creations, are errors."""
+    refused = {m: ("missing", *ENDED) for m in RUN_MOVES} | {"create": RUN_STATES[1:]}
+    return folds.final_states(events, key, RUN_STATES, RUN_MOVES, refused)
+
+
+def queue_log(events: DataFrame) -> DataFrame:
+    """outcome of each event (item_id, at, event_id, action, token) of a queue's items, and the item's status after it.
+
+    A known item is enqueued no second time; only a pending one is claimed; only the holder of the claim's token marks it
+    dispatched or sends it back; all but dispatched and cancelled ones are cancelled. The state is a status and a token.
+    """
+
+    def step(item: dict, row: dict) -> dict:
+        status, action = item["status"], row["action"]
+        owner = status == "Claimed" and item["token"] == row["token"]
+        if action == "enqueue":
+            outcome, new = ("duplicate", status) if status else ("enqueued", "Pending")
+        elif status is None:
+            outcome, new = "missing", None
+        elif action == "claim":
+            outcome, new = ("claimed", "Claimed") if status == "Pending" else ("not-pending", status)
+            if outcome == "claimed":
+                item["token"] = row["token"]
+        elif action == "cancel":
+            outcome, new = ("terminal", status) if status in ("Dispatched", "Cancelled") else ("cancelled", "Cancelled")
+        elif action in ("dispatch", "requeue"):
+            done = ("dispatched", "Dispatched") if action == "dispatch" else ("requeued", "Pending")
+            outcome, new = done if owner else ("not-owner", status)
+        else:
+            outcome, new = "unknown", status
+        item["status"] = new
+        return {"item_id": row["item_id"], "event_id": row["event_id"], "outcome": outcome, "status": new}
+
+    rows = events.select(F.col("item_id").cast("string").alias("item_id"), "at", F.col("event_id").cast("long").alias("event_id"), "action", "token")
+    return folds.streamed(rows, "item_id", ["at", "event_id"], lambda: {"status": None, "token": None}, step, "item_id string, event_id long, outcome string, status string")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators import folds
+
 
 def backoff(kind: Column, base_ms: Column, retries: Column, cap_ms: Column) -> Column:
     """Milliseconds to wait: doubled by each retry if exponential, else the base; at most the cap, at least 0."""
@@ -68,32 +69,48 @@ def admission(rows: DataFrame, value: str, blocked: DataFrame, allowed: DataFram
     return out.withColumn("admitted", F.col("b").isNull() & (F.col("a").isNotNull() | F.lit(not listed))).drop("v", "a", "b")
 
 
-def lease_semaphore(requests: DataFrame, limit: int) -> DataFrame:
-    """Decisions on (scope, at, lease_id, lease_ms) in order of time: expired leases go, a lease held already doesn't
-    count twice, and at limit a request is denied with the milliseconds until the next lease ends.
+def lease_admission(requests: DataFrame) -> DataFrame:
+    """Leases over several scopes at once, from (root, at, seq, action, lease_id, lease_ms, scopes array of (name, cap)).
 
-    The outcome of each request depends on those before it, so a scope is folded row by row: its rows stream past in
-    order, and what is kept is the leases held, never more than limit.
+    "acquire" is granted if every scope with a positive cap has room after expired leases are gone, and then holds in all
+    of them until at + lease_ms; else nothing is held, and blocked is the first full scope with its held leases and the
+    milliseconds until one of them ends. A lease that is held already doesn't count twice and is prolonged. "release"
+    ends a lease in its scopes. Each outcome depends on those before it, so all requests of a root, which bounds its
+    scopes, are folded in the order of at and seq, one by one; what is kept is the leases held. A null root is a root,
+    scopes without a cap or a null list always have room.
     """
-    schema = "scope string, at timestamp_ntz, lease_id long, granted boolean, held int, retry_after_ms long"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scope, held = None, {}
-        for part in parts:
-            out = []
-            for s, at, lease, ms in part[["scope", "at", "lease_id", "lease_ms"]].itertuples(index=False):
-                if s != scope:
-                    scope, held = s, {}
-                held = {k: end for k, end in held.items() if end > at}
-                wait = None
-                if lease in held or len(held) < limit:
-                    held[lease] = at + pd.Timedelta(milliseconds=ms)
-                    ok = True
-                else:
-                    ok, wait = False, int((min(held.values()) - at) / pd.Timedelta(milliseconds=1))
-                out.append((s, at, lease, ok, len(held), wait))
-            frame = pd.DataFrame(out, columns=["scope", "at", "lease_id", "granted", "held", "retry_after_ms"])
-            yield frame.astype({"retry_after_ms": "Int64"})
-
-    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return requests.repartition(n, "scope").sortWithinPartitions("scope", "at", "lease_id").mapInPandas(run, schema)
+
+    def step(state: dict, row: dict) -> dict:
+        held = state["held"]
+        now, lease = row["at"], row["lease_id"]
+        out = dict(root=row["root"], at=now, seq=row["seq"], lease_id=lease, granted=None, blocked=None, held=None, retry_after_ms=None)
+        caps = [(s["name"], s["cap"]) for s in row["scopes"] or () if s["cap"] and s["cap"] > 0]
+        if row["action"] == "release":
+            for name in {s["name"] for s in row["scopes"] or ()}:
+                held.get(name, {}).pop(lease, None)
+            return out
+        for name, cap in caps:
+            live = held[name] = {k: end for k, end in held.get(name, {}).items() if end > now}
+            if lease not in live and len(live) >= cap:
+                wait = (min(live.values()) - now) // timedelta(milliseconds=1)
+                return out | dict(granted=False, blocked=name, held=len(live), retry_after_ms=wait)
+        end = now + timedelta(milliseconds=row["lease_ms"])
+        for name, _ in caps:
+            held[name][lease] = end
+        # Scopes that nobody asks for any more mustn't stay.
+        if len(held) > 2 * state["swept"]:
+            for name in [n for n, live in held.items() if all(e <= now for e in live.values())]:
+                del held[name]
+            state["swept"] = max(512, len(held))
+        return out | dict(granted=True, held=max((len(held[n]) for n, _ in caps if n in held), default=0))
+
+    schema = "root string, at timestamp_ntz, seq long, lease_id long, granted boolean, blocked string, held int, retry_after_ms long"
+    rows = requests.select(F.col("root").cast("string").alias("root"), "at", F.col("seq").cast("long").alias("seq"), "action", "lease_id", "lease_ms", "scopes")
+    return folds.streamed(rows, "root", ["at", "seq"], lambda: {"held": {}, "swept": 512}, step, schema)
+
+
+def lease_semaphore(requests: DataFrame, limit: int) -> DataFrame:
+    """The same for one scope with one limit, from (scope, at, lease_id, lease_ms)."""
+    one = F.array(F.struct(F.col("scope").alias("name"), F.lit(limit).alias("cap")))
+    rows = requests.select(F.col("scope").alias("root"), "at", F.col("lease_id").alias("seq"), F.lit("acquire").alias("action"), "lease_id", "lease_ms", one.alias("scopes"))
+    return lease_admission(rows).select(F.col("root").alias("scope"), "at", "lease_id", "granted", "held", "retry_after_ms")

@@ -9,6 +9,7 @@ from loomline.operators import control
 from loomline.operators.observe import last_n
 from loomline.registry import query
 from loomline.sources import tables
+from loomline.sources.tables import LEDGER
 
 _RUN_STATES = ("Pending", "Running", "Completed", "Failed", "Cancelled", "Queued")
 _STATES = ("Ready", "Busy", "Paused", "Draining", "Unhealthy", "Stopped", "Ready")
@@ -179,3 +180,68 @@ def connections(spark, sf_dir):
     members = tables.table(spark, sf_dir, "nation").filter("n_regionkey = 2")
     customers = tables.table(spark, sf_dir, "customer")
     return members.join(customers, members["n_nationkey"] == customers["c_nationkey"]).select("n_nationkey", "c_custkey")
+
+
+_CONTROL = ("pause", "mark_paused", "resume", "wait", "input", "mark_running")
+
+
+@query("control_states", f"""WITH RECURSIVE {LEDGER}, ev AS (SELECT execution_id, row_number() OVER (PARTITION BY execution_id ORDER BY ts, entry_id) AS n, 'key-' || entry_id % 3 AS key,
+    CASE k WHEN 98 THEN 'cancel' WHEN 99 THEN 'mark_cancelled' ELSE {_list(_CONTROL)}[(k % 6)::INT + 1] END AS action FROM ledger),
+  walk AS (SELECT DISTINCT execution_id, 0::BIGINT AS n, 'Running' AS was, 'Running' AS status, NULL::VARCHAR AS waiting, 0::BIGINT AS changes, 0::BIGINT AS errors FROM ev
+    UNION ALL SELECT execution_id, n, status, next, CASE WHEN action = 'wait' AND status NOT LIKE 'Cancel%' THEN key ELSE waiting END, changes + (next <> status)::BIGINT,
+      errors + (action = 'input' AND status NOT LIKE 'Cancel%' AND waiting IS DISTINCT FROM key)::BIGINT FROM (
+      SELECT w.execution_id, e.n, w.status, w.waiting, w.changes, w.errors, e.action, e.key, CASE
+        WHEN w.status = 'Cancelled' OR e.action = 'mark_cancelled' THEN 'Cancelled' WHEN w.status = 'Cancelling' OR e.action = 'cancel' THEN 'Cancelling'
+        WHEN e.action = 'pause' AND w.status <> 'Paused' THEN 'Pausing' WHEN e.action = 'mark_paused' AND w.status = 'Pausing' THEN 'Paused'
+        WHEN e.action = 'resume' OR e.action = 'input' AND w.waiting = e.key THEN 'Resuming' WHEN e.action = 'wait' THEN 'WaitingForInput'
+        WHEN e.action = 'mark_running' AND w.status = 'Resuming' THEN 'Running' ELSE w.status END AS next
+      FROM walk w JOIN ev e ON e.execution_id = w.execution_id AND e.n = w.n + 1) s)
+  SELECT execution_id, status, CASE WHEN status LIKE 'Cancel%' THEN 'Cancel' WHEN status IN ('Paused', 'Pausing', 'WaitingForInput') THEN 'StopClaiming' ELSE 'Continue' END AS decision, changes, errors
+  FROM walk QUALIFY row_number() OVER (PARTITION BY execution_id ORDER BY n DESC) = 1""")
+def control_states(spark, sf_dir):
+    """The state of control that each execution's log leads to, and what it says to a worker."""
+    k = F.col("k")
+    action = F.when(k == 98, "cancel").when(k == 99, "mark_cancelled").otherwise(_nth(_CONTROL, k % 6))
+    events = tables.ledger(spark, sf_dir).select("execution_id", F.col("ts").alias("at"), F.col("entry_id").alias("event_id"), action.alias("action"), F.concat(F.lit("key-"), F.col("entry_id") % 3).alias("input_key"))
+    return control.control_states(events, "execution_id").withColumn("decision", control.control_gate(F.col("status")))
+
+
+_RUN_EVENTS = ("create", "dispatch", "create", "dispatch", "create", "cancel", "complete", "dispatch", "fail")
+
+
+@query("control_run_store", f"""WITH {LEDGER}, ev AS (SELECT execution_id || '/' || strftime(ts, '%Y-%m-%d') AS run_id, ts, entry_id, {_list(_RUN_EVENTS)}[(k % 9)::INT + 1] AS move FROM ledger),
+  born AS (SELECT *, min((ts, entry_id)) FILTER (move = 'create') OVER (PARTITION BY run_id) AS b FROM ev),
+  dead AS (SELECT *, min((ts, entry_id)) FILTER (move NOT IN ('create', 'dispatch') AND (ts, entry_id) > b) OVER (PARTITION BY run_id) AS d FROM born),
+  live AS (SELECT *, b IS NOT NULL AND (ts, entry_id) >= b AND (d IS NULL OR (ts, entry_id) <= d) AS alive, (ts, entry_id) = b AS birth, coalesce((ts, entry_id) = d, false) AS death FROM dead)
+  SELECT run_id, CASE WHEN count(b) = 0 THEN 'missing' WHEN count(d) > 0 THEN CASE max(move) FILTER (death) WHEN 'cancel' THEN 'Cancelled' WHEN 'complete' THEN 'Completed' ELSE 'Failed' END
+      WHEN count(*) FILTER (alive AND move = 'dispatch') > 0 THEN 'Dispatched' ELSE 'Pending' END AS status,
+    (count(*) FILTER (birth) + count(*) FILTER (death) + least(1, count(*) FILTER (alive AND move = 'dispatch')))::BIGINT AS changes,
+    count(*) FILTER (NOT coalesce(birth OR death OR alive AND move = 'dispatch', false)) AS errors FROM live GROUP BY 1""")
+def run_store(spark, sf_dir):
+    """The runs that a log of creations, dispatches and ends leads to."""
+    run = F.concat(F.col("execution_id"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd"))
+    events = tables.ledger(spark, sf_dir).select(run.alias("run_id"), F.col("ts").alias("at"), F.col("entry_id").alias("event_id"), _nth(_RUN_EVENTS, F.col("k") % 9).alias("move"))
+    return control.run_states(events, "run_id")
+
+
+_QUEUE_EVENTS = ("enqueue", "claim", "claim", "requeue", "enqueue", "claim", "dispatch", "requeue", "cancel")
+
+
+@query("control_queue_log", f"""WITH RECURSIVE {LEDGER}, ev AS (SELECT execution_id || '/' || strftime(ts, '%Y-%m-%d') AS item_id, entry_id AS event_id, {_list(_QUEUE_EVENTS)}[(k % 9)::INT + 1] AS action, entry_id % 2 AS token,
+    row_number() OVER (PARTITION BY item_id ORDER BY ts, entry_id) AS n FROM ledger),
+  walk AS (SELECT DISTINCT item_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS outcome, NULL::VARCHAR AS status, NULL::BIGINT AS token FROM ev
+    UNION ALL SELECT item_id, n, event_id, outcome,
+      CASE outcome WHEN 'enqueued' THEN 'Pending' WHEN 'requeued' THEN 'Pending' WHEN 'claimed' THEN 'Claimed' WHEN 'dispatched' THEN 'Dispatched' WHEN 'cancelled' THEN 'Cancelled' ELSE status END,
+      CASE outcome WHEN 'claimed' THEN own ELSE token END FROM (
+      SELECT e.item_id, e.n, e.event_id, w.status, w.token, e.token AS own, CASE
+        WHEN e.action = 'enqueue' THEN CASE WHEN w.status IS NULL THEN 'enqueued' ELSE 'duplicate' END WHEN w.status IS NULL THEN 'missing'
+        WHEN e.action = 'claim' THEN CASE w.status WHEN 'Pending' THEN 'claimed' ELSE 'not-pending' END
+        WHEN e.action = 'cancel' THEN CASE WHEN w.status IN ('Dispatched', 'Cancelled') THEN 'terminal' ELSE 'cancelled' END
+        WHEN w.status <> 'Claimed' OR w.token <> e.token THEN 'not-owner' WHEN e.action = 'dispatch' THEN 'dispatched' ELSE 'requeued' END AS outcome
+      FROM walk w JOIN ev e ON e.item_id = w.item_id AND e.n = w.n + 1) s)
+  SELECT item_id, event_id, outcome, status FROM walk WHERE n > 0""")
+def queue_log(spark, sf_dir):
+    """What each enqueuing, claim, dispatch, return and cancelling of a queue's item comes to."""
+    item = F.concat(F.col("execution_id"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd"))
+    events = tables.ledger(spark, sf_dir).select(item.alias("item_id"), F.col("ts").alias("at"), F.col("entry_id").alias("event_id"), _nth(_QUEUE_EVENTS, F.col("k") % 9).alias("action"), (F.col("entry_id") % 2).alias("token"))
+    return control.queue_log(events)

@@ -121,10 +121,14 @@ def throttle_rules(spark, sf_dir):
 
 @query("policy_lease_semaphore")
 def lease_semaphore(spark, sf_dir):
-    """Whether each request gets a lease, given those before it. Depends on its own outcomes, so it has no SQL."""
+    """Whether each request of an execution gets a lease in all of its scopes (the execution, the kind of event and the
+    hour's instance), given those before it; errors release. Depends on its own outcomes, so it has no SQL."""
     e = tables.ledger(spark, sf_dir)
-    requests = e.select(F.col("event_type").alias("scope"), F.col("ts").alias("at"), (F.col("entry_id") % 500).alias("lease_id"), (F.col("k") * 60000).alias("lease_ms"))
-    return policy.lease_semaphore(requests, 8)
+    scope = lambda name, cap: F.struct(name.alias("name"), F.lit(cap).alias("cap"))
+    scopes = F.array(scope(F.lit("execution"), 6), scope(F.concat(F.lit("kind:"), "event_type"), 2), scope(F.concat(F.lit("instance:"), F.hour("ts")), 3))
+    action = F.when(F.col("event_type") == "error", "release").otherwise("acquire")
+    rows = e.select(F.col("execution_id").alias("root"), F.col("ts").alias("at"), F.col("entry_id").alias("seq"), action.alias("action"), (F.col("entry_id") % 20).alias("lease_id"), (F.col("k") * 1800000).alias("lease_ms"), scopes.alias("scopes"))
+    return policy.lease_admission(rows)
 
 
 _MEMORIES = """m AS (SELECT c_custkey AS memory_id, c_mktsegment AS scope, (c_custkey % 11) / 10.0::DOUBLE AS relevance, (c_custkey % 7) / 6.0::DOUBLE AS novelty, (c_nationkey % 5) / 4.0::DOUBLE AS confidence, count(event_id) AS accesses, c_custkey % 9 AS age FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY ALL),

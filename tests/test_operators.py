@@ -1,5 +1,6 @@
 """Operators on small tables made by hand: ties, nulls, empty tables, limits."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -147,3 +148,36 @@ def test_percentiles_of_nulls_ties_and_null_keys(spark):
     df = spark.createDataFrame([("a", None), ("a", 2.0), ("a", 2.0), ("a", 1.0), (None, 5.0), ("z", None)], "g string, v double")
     got = {r.g: (r.p50, r.p0) for r in observe.percentiles(df, ["g"], "v", {"p50": 0.5, "p0": 0.0}).collect()}
     assert got == {"a": (2.0, 1.0), None: (5.0, 5.0), "z": (None, None)}
+
+
+def test_leases_over_several_scopes_equal_a_plain_fold(spark):
+    rng, base = random.Random(5), datetime(2024, 1, 1)
+    rows = []
+    for k in range(1500):
+        scopes = [(name, cap) for name, cap in (("all", 5), (f"p{rng.randrange(3)}", 2), ("open", None)) if rng.random() < 0.9]
+        rows.append((rng.choice(["a", "a", "b", None]), base + timedelta(seconds=rng.randrange(400)), k, rng.choice(["acquire", "acquire", "release"]), rng.randrange(12), rng.randrange(1, 60_000), scopes))
+    df = spark.createDataFrame(rows, "root string, at timestamp_ntz, seq long, action string, lease_id long, lease_ms long, scopes array<struct<name:string,cap:int>>")
+    grants, want = [], {}
+    for root, at, seq, action, lease, ms, scopes in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        if action == "release":
+            grants = [g for g in grants if not (g[0] == root and g[2] == lease and g[1] in dict(scopes))]
+            want[seq] = (None, None)
+            continue
+        capped = [(n, c) for n, c in scopes if c]
+        live = lambda n: [g for g in grants if g[0] == root and g[1] == n and g[3] > at]  # noqa: B023, E731
+        full = [n for n, c in capped if lease not in {g[2] for g in live(n)} and len(live(n)) >= c]
+        if not full:
+            grants = [g for g in grants if not (g[0] == root and g[2] == lease and g[1] in dict(capped))] + [(root, n, lease, at + timedelta(milliseconds=ms)) for n, _ in capped]
+        want[seq] = (not full, full[0] if full else None)
+    got = {r.seq: (r.granted, r.blocked) for r in policy.lease_admission(df).collect()}
+    assert got == want and {g for g, _ in want.values()} == {True, False, None}
+    assert policy.lease_admission(df.limit(0)).count() == 0
+
+
+def test_states_of_control_with_nulls_and_unknown_actions(spark):
+    at = lambda d: datetime(2024, 1, d)
+    rows = [("a", at(1), 1, "wait", "x"), ("a", at(2), 2, "input", "y"), ("a", at(2), 3, "input", "x"), ("a", at(3), 4, None, None), ("a", at(3), 5, "mark_running", None), (None, at(1), 6, "input", "x"), ("c", at(1), 8, "pause", None), ("c", at(1), 7, "cancel", None), ("c", at(2), 9, "input", "z"), ("d", at(1), 10, "nonsense", None)]
+    df = spark.createDataFrame(rows, "k string, at timestamp_ntz, event_id long, action string, input_key string")
+    got = {r.k: (r.status, r.changes, r.errors) for r in control.control_states(df, "k").collect()}
+    assert got == {"a": ("Running", 3, 1), None: ("Running", 0, 1), "c": ("Cancelling", 1, 0), "d": ("Running", 0, 0)}
+    assert control.control_states(df.limit(0), "k").count() == 0
