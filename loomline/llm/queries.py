@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, common, decontaminate, html_extract, licenses, minhash, neighbours, quality, secrets, token_counts, token_files
+from loomline.llm import bpe, common, decontaminate, html_extract, licenses, minhash, neighbours, oracle, quality, secrets, token_counts, token_files
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -56,4 +56,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_quality, op4_decontamination, op5_license_scan, op6_html_text, op7_minhash, op8_token_files, op9_bpe, op10_neighbours)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
