@@ -76,3 +76,29 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def last_n(rows: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= n)
+
+
+def storage_operations(ops: DataFrame, keys: list[str]) -> DataFrame:
+    """Operations on payloads by keys, from (op, bytes): negative and unknown sizes count as 0, and only what is stored counts."""
+    names = {"stored": "stored", "loaded": "loaded", "hits": "hit", "misses": "miss", "failures": "failed"}
+    size = F.when(F.col("op") == "stored", F.greatest(F.lit(0), F.coalesce("bytes", F.lit(0)))).otherwise(0)
+    return ops.groupBy(*keys).agg(*(F.count_if(F.col("op") == op).alias(n) for n, op in names.items()), F.sum(size).cast("long").alias("bytes_stored"))
+
+
+def failures(ops: DataFrame, keys: list[str]) -> DataFrame:
+    """Failed operations by keys and exception; a blank or missing name is "unknown"."""
+    name = F.coalesce(F.nullif(F.trim("exception"), F.lit("")), F.lit("unknown"))
+    return ops.filter("op = 'failed'").groupBy(*keys, name.alias("exception")).agg(F.count("*").alias("n"))
+
+
+def hot_states(samples: DataFrame, key: str) -> DataFrame:
+    """Of each key from (at, id, before, after): samples, the last size seen, and what went, where growth counts as 0."""
+    gone = F.greatest(F.lit(0), F.col("before") - F.col("after"))
+    return samples.groupBy(key).agg(F.count("*").alias("samples"), F.max_by("after", F.struct("at", "id")).alias("last_size"), F.sum(gone).cast("long").alias("removed"))
+
+
+def retention_savings(passes: DataFrame, keys: list[str]) -> DataFrame:
+    """Passes by keys with bytes before, after and saved (never below 0 in a pass)."""
+    known = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    saved = F.greatest(F.lit(0), known("before") - known("after"))
+    return passes.groupBy(*keys).agg(F.count("*").alias("passes"), F.sum(known("before")).cast("long").alias("bytes_before"), F.sum(known("after")).cast("long").alias("bytes_after"), F.sum(saved).cast("long").alias("bytes_saved"))

@@ -156,3 +156,42 @@ def find(spark, sf_dir):
 def duplicates(spark, sf_dir):
     """Keys that break a uniqueness guard."""
     return tables.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+_OPS = f"""{LEDGER}, ops AS (SELECT *, ['stored', 'loaded', 'hit', 'miss', 'failed'][(k % 5)::INT + 1] AS op, CASE WHEN k % 7 <> 0 THEN k * 100 - 900 END AS bytes,
+    CASE entry_id % 4 WHEN 0 THEN 'Timeout' WHEN 1 THEN ' ' WHEN 2 THEN 'Format' END AS exception, 1000 - k AS before, 950 - entry_id % 100 AS after FROM ledger)"""
+
+
+def _operations(spark, sf_dir):
+    op = F.array(*map(F.lit, ("stored", "loaded", "hit", "miss", "failed")))[(F.col("k") % 5).cast("int")]
+    n = F.col("entry_id") % 4
+    exception = F.when(n == 0, "Timeout").when(n == 1, " ").when(n == 2, "Format")
+    return tables.ledger(spark, sf_dir).select("*", op.alias("op"), F.when(F.col("k") % 7 != 0, F.col("k") * 100 - 900).alias("bytes"), exception.alias("exception"), (1000 - F.col("k")).alias("before"), (950 - F.col("entry_id") % 100).alias("after"))
+
+
+@query("obs_storage_operations", f"""WITH {_OPS} SELECT event_type, count(*) FILTER (op = 'stored') AS stored, count(*) FILTER (op = 'loaded') AS loaded, count(*) FILTER (op = 'hit') AS hits,
+  count(*) FILTER (op = 'miss') AS misses, count(*) FILTER (op = 'failed') AS failures, coalesce(sum(bytes) FILTER (op = 'stored' AND bytes > 0), 0)::BIGINT AS bytes_stored FROM ops GROUP BY 1""")
+def storage_operations(spark, sf_dir):
+    """Operations by kind of storage, for which the kind of event stands."""
+    return observe.storage_operations(_operations(spark, sf_dir), ["event_type"])
+
+
+@query("obs_failures", f"WITH {_OPS} SELECT event_type, CASE WHEN trim(exception) <> '' THEN trim(exception) ELSE 'unknown' END AS exception, count(*) AS n FROM ops WHERE op = 'failed' GROUP BY ALL")
+def failures(spark, sf_dir):
+    """Failures by exception."""
+    return observe.failures(_operations(spark, sf_dir), ["event_type"])
+
+
+@query("obs_hot_states", f"WITH {_OPS} SELECT execution_id, count(*) AS samples, arg_max(after, (ts, entry_id)) AS last_size, sum(CASE WHEN before > after THEN before - after ELSE 0 END)::BIGINT AS removed FROM ops GROUP BY 1")
+def hot_states(spark, sf_dir):
+    """Sizes of hot states by execution."""
+    rows = _operations(spark, sf_dir).select("execution_id", F.col("ts").alias("at"), F.col("entry_id").alias("id"), "before", "after")
+    return observe.hot_states(rows, "execution_id")
+
+
+@query("obs_retention_savings", f"""WITH {_OPS} SELECT op AS reason, count(*) AS passes, sum(before)::BIGINT AS bytes_before, coalesce(sum(bytes) FILTER (bytes > 0), 0)::BIGINT AS bytes_after,
+  sum(CASE WHEN bytes IS NULL OR bytes < 0 THEN before WHEN bytes < before THEN before - bytes ELSE 0 END)::BIGINT AS bytes_saved FROM ops GROUP BY 1""")
+def retention_savings(spark, sf_dir):
+    """Passes of retention by reason, with bytes before, after and saved."""
+    rows = _operations(spark, sf_dir).select(F.col("op").alias("reason"), "before", F.col("bytes").alias("after"))
+    return observe.retention_savings(rows, ["reason"])
