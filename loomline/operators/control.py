@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.operators import folds
+from loomline.operators import folds, ordered
+from loomline.sources import shared
 
 ENDED = ("Cancelled", "Completed", "Failed")
 
@@ -70,6 +71,31 @@ def control_gate(status: Column) -> Column:
     return F.when(status.isin("Cancelled", "Cancelling"), "Cancel").when(status.isin("Paused", "Pausing", "WaitingForInput"), "StopClaiming").otherwise("Continue")
 
 
+def first_unheld(candidates: DataFrame, helpers: DataFrame, held: DataFrame, n: int) -> DataFrame:
+    """helper and execution_id: of the candidates (execution_id, zone) of a helper's zone, in order with null last, the
+    first n of which it holds no lease (execution_id, helper). A helper that is there twice takes each candidate twice.
+
+    Candidates aren't paired with helpers. They have places in their zone, and the k-th unheld one is at place k plus the
+    number of held ones before it: of those held ones that, as i-th of their helper, have a place under i + k. A helper
+    with m leases needs no place over n + m; places that none of a zone needs are dropped, and the others written once.
+    """
+    leases = held.groupBy("helper").agg(F.count("*").alias("leases"))
+    helpers = helpers.groupBy("helper", "zone").agg(F.count("*").alias("copies")).join(leases, "helper", "left")
+    helpers = helpers.select("helper", "zone", "copies", (F.coalesce("leases", F.lit(0)) + n).alias("need"))
+    places = candidates.filter(F.col("zone").isNotNull()).select("zone", "execution_id").distinct()
+    places = ordered.running(places, ["zone"], [F.asc_nulls_last("execution_id")], "place")
+    places = places.join(helpers.groupBy("zone").agg(F.max("need").alias("most")), "zone").filter("place <= most").drop("most")
+    places = shared.written(places, shared.folder(places.sparkSession, "places"))
+    near = held.join(places, "execution_id", "left_semi").distinct()
+    taken = near.join(helpers, "helper").join(places, ["execution_id", "zone"]).filter("place <= need").select("helper", "zone", "place")
+    taken = ordered.running(taken, ["helper", "zone"], [F.col("place")], "nth")
+    before = taken.groupBy("helper", "zone").agg(F.array(*(F.count_if(F.col("place") < F.col("nth") + k) for k in range(1, n + 1))).alias("before"))
+    wanted = helpers.join(before, ["helper", "zone"], "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    k = F.ceil(F.col("row") / F.col("copies"))
+    wanted = wanted.select("helper", "zone", (k + F.coalesce(F.get("before", k.cast("int") - 1), F.lit(0))).alias("place"))
+    return wanted.join(places, ["zone", "place"]).select("helper", "execution_id")
+
+
 _OPEN = ("Running", "Pausing", "Paused", "Resuming", "WaitingForInput")
 CONTROL_STATES = (*_OPEN, "Cancelling", "Cancelled")
 #: What a move makes of a state; where none is named, the state stays. Cancelling and Cancelled absorb all but cancelling.

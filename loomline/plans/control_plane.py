@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomline.operators import control
-from loomline.operators.observe import last_n
 from loomline.registry import query
 from loomline.sources import tables
 from loomline.sources.tables import LEDGER
@@ -152,11 +151,10 @@ def active_leases(spark, sf_dir):
 def helper_match(spark, sf_dir):
     """Candidates in order for each helper, without those that it holds a lease of, up to its most grants."""
     items = tables.table(spark, sf_dir, "lineitem")
-    candidates = items.filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("execution_id"), (F.col("l_suppkey") % 20).alias("zone")).distinct()
+    candidates = items.filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("execution_id"), (F.col("l_suppkey") % 20).alias("zone"))
     held = items.filter("l_linestatus = 'O'").select(F.col("l_orderkey").alias("execution_id"), F.col("l_suppkey").alias("helper"))
     helpers = tables.table(spark, sf_dir, "supplier").filter("s_nationkey < 3").select(F.col("s_suppkey").alias("helper"), (F.col("s_suppkey") % 20).alias("zone"))
-    matched = candidates.join(helpers, "zone").join(held, ["execution_id", "helper"], "left_anti")
-    return last_n(matched, ["helper"], 3, F.col("execution_id")).select("helper", "execution_id")
+    return control.first_unheld(candidates, helpers, held, 3)
 
 
 @query("control_pump_counters", """SELECT user_id AS pump, count(*) AS attempted, count(*) FILTER (event_type = 'purchase') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, string_agg(DISTINCT CASE WHEN event_type = 'error' THEN props END, ';' ORDER BY CASE WHEN event_type = 'error' THEN props END) AS reasons FROM events GROUP BY 1""")

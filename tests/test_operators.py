@@ -3,9 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomline import plans, registry  # noqa: F401
 from loomline.functions import expr
 from loomline.operators import control, dag, memory, observe, ordered, policy, rag
 from loomline.sources import tables
@@ -181,3 +183,45 @@ def test_states_of_control_with_nulls_and_unknown_actions(spark):
     got = {r.k: (r.status, r.changes, r.errors) for r in control.control_states(df, "k").collect()}
     assert got == {"a": ("Running", 3, 1), None: ("Running", 0, 1), "c": ("Cancelling", 1, 0), "d": ("Running", 0, 0)}
     assert control.control_states(df.limit(0), "k").count() == 0
+
+
+HELPER_TABLES = ("l_orderkey long, l_suppkey long, l_returnflag string, l_linestatus string", "s_suppkey long, s_nationkey int")
+
+
+def test_helpers_take_the_first_candidates_that_they_dont_hold_as_in_sql(spark, tmp_path):
+    rng = random.Random(7)
+    key = lambda n: rng.choice([None, *range(n)]) if rng.random() < 0.1 else rng.randrange(n)
+    items = [(key(60), key(45) if rng.random() < 0.7 else 21, rng.choice("ANR"), rng.choice("OF")) for _ in range(2500)]
+    # A zone with a null candidate among few, a helper that holds all of its zone, one without a candidate, negative keys.
+    items += [(None, 117, "A", "F"), (5, 117, "A", "F"), (5, 138, "A", "O"), (6, 138, "A", "O"), (7, 178, "A", "F"), (1, -3, "A", "O"), (2, -3, "A", "F")]
+    suppliers = [(k, k % 5) for k in range(45)] + [(117, 0), (138, 1), (158, 1), (179, 2), (-3, 2), (-23, 2), (None, 0), (57, None)] + [(21, 1), (21, 1), (31, 1), (31, 1), (31, 1)]
+    for name, rows, schema in zip(("lineitem", "supplier"), (items, suppliers), HELPER_TABLES, strict=True):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for sf in (str(tmp_path), "/root/testdata/sf0.01"):
+        if sf != str(tmp_path):
+            con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{sf}/lineitem.parquet'; CREATE OR REPLACE VIEW supplier AS SELECT * FROM '{sf}/supplier.parquet'")
+        want = sorted(con.sql(registry.ORACLE["control_helper_match"]).fetchall(), key=str)
+        got = registry.QUERIES["control_helper_match"](spark, sf).select("helper", "execution_id").collect()
+        assert sorted(map(tuple, got), key=str) == want and len(want) > 20
+    assert control.first_unheld(*(spark.createDataFrame([], s) for s in ("execution_id long, zone long", "helper long, zone long", "execution_id long, helper long")), 3).count() == 0
+
+
+def test_helpers_are_not_paired_with_all_candidates_of_their_zone(spark, tmp_path):
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    # 300 helpers of one zone and 5,000 candidates: 1.5 million pairs, of 10,000 items.
+    items = spark.range(10_000).select((F.col("id") % 5000).alias("l_orderkey"), (F.col("id") % 300 * 20).alias("l_suppkey"), F.lit("A").alias("l_returnflag"), F.lit("O").alias("l_linestatus"))
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(300).select((F.col("id") * 20).alias("s_suppkey"), F.lit(0).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    before, most = set(shuffled()), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert registry.QUERIES["control_helper_match"](spark, str(tmp_path)).count() == 900
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert sum(n for k, n in shuffled().items() if k not in before) < 200_000
